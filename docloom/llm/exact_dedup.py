@@ -151,7 +151,8 @@ def exact_duplicates(docs: DataFrame, cut: tuple[int, int, int] = (MIN_CHUNK, MA
     if not chunks.isEmpty():
         recipes = _told_apart(read, recipes, _distinct_chunks(read, cut, digest_bytes), chunks, cut, digest_bytes)
     order = F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    groups = recipes.groupBy("recipe").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below reads two shuffles and a large group's side can be split.
+    groups = materialise(recipes.groupBy("recipe").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     copies = Window.partitionBy("recipe", "doc_id", "n_chars").orderBy("text_sha256")
     return (
         recipes.withColumn("copy", F.row_number().over(copies))

@@ -9,9 +9,9 @@
 3. Neighbours in a tile are compared first.  Bitmap signatures bound the intersection from above;
    pairs that may still link have their sorted arrays intersected.
 4. What is connected already needs no more comparisons.  Tiles that still hold several components
-   are compared across these, again by bitmaps and then exactly, in rounds that double their
-   allowance until no pair is left over.  So a group of thousands of near copies costs a chain of
-   comparisons, not its square.
+   are compared across these, again by bitmaps and then exactly, in rounds that raise their
+   allowance until no pair is left over; two sets that share several tiles are compared in one of
+   them.  So a group of thousands of near copies costs a chain of comparisons, not its square.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.common import byte_blocks, materialise, text_or_empty
 from docloom.llm.components import connected_components
 
-BITMAP_WORDS = 8
+#: Bits of a signature for each shingle, and bytes of the largest signature.
+BITS_EACH, MOST_BYTES = 8, 2_048
 CACHED_WORDS = 400_000
 #: Rows of a tile that are held at once while components are compared.
 BLOCK = 4_096
@@ -102,12 +103,29 @@ def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def _bitmap(hashes: np.ndarray) -> bytes:
-    flags = np.zeros(64 * BITMAP_WORDS, bool)
-    flags[(hashes & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.intp)] = True
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The signature of a set: hash bits modulo a power of two that grows with the set, so that a
+    longer one can be folded to a shorter one's length."""
+    size = min(8 * MOST_BYTES, max(64, 1 << (BITS_EACH * len(hashes)).bit_length()))
+    flags = np.zeros(size, bool)
+    flags[(hashes & np.uint64(size - 1)).astype(np.intp)] = True
     return np.packbits(flags).tobytes()
 
 
+def folded(signature: np.ndarray, size: int) -> np.ndarray:
+    """A signature of bytes as one of ``size`` bytes."""
+    return np.bitwise_or.reduce(signature.reshape(-1, size), 0)
+
+
+def may_link(n: int | np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of sizes ``n`` and ``m`` may link, and the most that they can share.
+
+    A bit that one signature alone has stands for a shingle of that set alone, at least.
+    """
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    return den * most >= num * (n + m - most), most
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
@@ -116,54 +134,67 @@ def _sum64(x: np.ndarray) -> int:
     return int(np.sum(x, dtype=np.uint64).astype(np.int64)) if len(x) else 0
 
 
-_WORD_COLUMNS = [f"w{i}" for i in range(BITMAP_WORDS)]
-
-
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, f1, f2, w0.., keys) of each document: size, fingerprints and bitmap of its set, tiles."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *((w, pa.int64()) for w in _WORD_COLUMNS), ("keys", pa.list_(pa.int64()))])
+    """(id, n, f1, f2, keys) of each document: size and fingerprints of its set, and its tiles."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in byte_blocks(batches, 1, 4_000_000):
-            sizes, f1, f2, maps, keys = [], [], [], [], []
+            sizes, f1, f2, keys = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_set(text.as_buffer().to_pybytes(), n, words)
                 sizes.append(len(hashes))
                 f1.append(_sum64(_mixed(hashes ^ _M2)))
                 f2.append(_sum64(_mixed(hashes + _M1)))
-                maps.append(_bitmap(hashes))
                 keys.append(_signed(tile_keys(hashes, num, den)))
-            bits = np.frombuffer(b"".join(maps), np.int64).reshape(-1, BITMAP_WORDS)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2)), *(pa.array(bits[:, i].copy()) for i in range(BITMAP_WORDS)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2)), lists], schema=schema)
 
-    return docs.mapInArrow(run, f"id long, n long, f1 long, f2 long, {', '.join(f'{w} long' for w in _WORD_COLUMNS)}, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, hashes) of each document."""
+    """(id, n, bitmap, hashes) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in byte_blocks(batches, 1, 4_000_000):
-            sets = [_signed(shingle_set(text.as_buffer().to_pybytes(), n, words)) for text in batch.column(1)]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], names=["id", "hashes"])
+            sets = [shingle_set(text.as_buffer().to_pybytes(), n, words) for text in batch.column(1)]
+            sizes = [len(s) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(np.concatenate(sets))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), lists], names=["id", "n", "bitmap", "hashes"])
+
+    return docs.mapInArrow(run, "id long, n long, bitmap binary, hashes array<long>")
+
+
+def _bytes(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint8)
 
-    return docs.mapInArrow(run, "id long, hashes array<long>")
 
+def _open_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps leave open."""
 
-def _bound(num: int, den: int) -> Column:
-    """Whether bitmaps leave it open that a pair links: bits that one set alone has are shingles of its own."""
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in _WORD_COLUMNS), F.lit(0))
-    most = F.least(F.col("x.n") - alone("x", "y"), F.col("y.n") - alone("y", "x"))
-    return den * most >= num * (F.col("x.n") + F.col("y.n") - most)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for i, (n, m, x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
+                x, y = _bytes(x), _bytes(y)
+                size = min(len(x), len(y))
+                if may_link(n, m, folded(x, size), folded(y, size), num, den)[0]:
+                    hits.append(i)
+            if hits:
+                yield batch.select(["a", "b"]).take(pa.array(hits))
 
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bitmap").alias(f"bitmap_{end}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.where((den * F.least("n_a", "n_b")) >= num * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
-def _linked(pairs: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then the sorted arrays."""
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, by their sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +212,7 @@ def _linked(pairs: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den:
             if hits:
                 yield batch.select(["a", "b"]).take(pa.array(hits))
 
-    open_pairs = pairs.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id")).where(_bound(num, den)).select("a", "b")
-    first = open_pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("s")), "a")
+    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("s")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
     return both.mapInArrow(run, "a long, b long")
 
@@ -190,30 +220,43 @@ def _linked(pairs: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den:
 def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
     """(a, b, more): pairs of a tile's components that bitmaps leave open.
 
-    ``tiles``: (tile, side, id, n, component, w0..), a tile's rows in ``side`` 0 are compared with
-    each other, or, where there is a side 1, with those.  For a row and a component of the others,
-    the likeliest ``allowance`` pairs are given; ``more`` says that there were more.
+    ``tiles``: (tile, key, side, id, n, component, bitmap, keys); a tile's rows in ``side`` 0 are
+    compared with each other, or, where there is a side 1, with those.  Of the tiles that two rows
+    share, that of the least key gives the pair.  For a row and a component of the others, the
+    likeliest ``allowance`` pairs are given; ``more`` says that there were more.
     """
 
-    def compare(block: dict[str, np.ndarray]) -> tuple[list[int], list[int], list[bool]]:
-        side = block["side"] == 1
-        left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(side)), None)
-        words = np.stack([block[w].view(np.uint64) for w in _WORD_COLUMNS], 1)
-        sizes, comps, ids = block["n"], block["component"], block["id"]
+    def compare(table: pa.Table) -> tuple[list[int], list[int], list[bool]]:
+        side, ids, sizes, comps = (table.column(c).to_numpy() for c in ("side", "id", "n", "component"))
+        key = table.column("key")[0].as_py()
+        raw = [_bytes(x) for x in table.column("bitmap")]
+        width = min(map(len, raw))
+        words = np.stack([folded(x, width) for x in raw]).view(np.uint64)
+        lists = [x.values.to_numpy() for x in table.column("keys")]
+        shared = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
+        for i, own in enumerate(lists):
+            shared[i, : len(own)] = own
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)), None)
         out: tuple[list[int], list[int], list[bool]] = ([], [], [])
         for k, i in enumerate(left):
             others = left[k + 1 :] if right is None else right
             others = others[(comps[others] != comps[i]) & (sizes[others] * den >= num * sizes[i]) & (sizes[i] * den >= num * sizes[others])]
             if not len(others):
                 continue
-            mine = sizes[i] - np.bitwise_count(words[i] & ~words[others]).sum(1, dtype=np.int64)
-            theirs = sizes[others] - np.bitwise_count(words[others] & ~words[i]).sum(1, dtype=np.int64)
-            most = np.minimum(mine, theirs)
-            fits = den * most >= num * (sizes[i] + sizes[others] - most)
-            others, likely = others[fits], most[fits] / (sizes[i] + sizes[others][fits] - most[fits])
-            order = np.lexsort((-likely, comps[others]))
+            fits, most = may_link(sizes[i], sizes[others], words[i], words[others], num, den)
+            others, most = others[fits], most[fits]
+            if not len(others):
+                continue
+            own, theirs = lists[i], shared[others]
+            place = np.searchsorted(own, theirs)
+            common = own[np.minimum(place, len(own) - 1)] == theirs
+            here = theirs[np.arange(len(others)), common.argmax(1)] == key
+            others, most = others[here], most[here]
+            if not len(others):
+                continue
+            order = np.lexsort((-most / (sizes[i] + sizes[others] - most), comps[others]))
             ranked = others[order]
-            starts = np.flatnonzero(np.concatenate(([True], comps[ranked][1:] != comps[ranked][:-1]))) if len(ranked) else np.empty(0, int)
+            starts = np.flatnonzero(np.concatenate(([True], comps[ranked][1:] != comps[ranked][:-1])))
             place = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.append(starts, len(ranked))))
             near = ids[ranked[place < allowance]]
             out[0].extend(np.minimum(near, ids[i]).tolist())
@@ -226,8 +269,7 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             if held:
-                table = pa.Table.from_batches(held)
-                a, b, more = compare({c: table.column(c).to_numpy() for c in ("side", "id", "n", "component", *_WORD_COLUMNS)})
+                a, b, more = compare(pa.Table.from_batches(held))
                 held.clear()
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
@@ -253,7 +295,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     last = numbered.groupBy("key").agg(F.max("block").alias("last"))
     dealt = numbered.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), F.when(low == high, 0).when(F.col("block") == low, 0).otherwise(1).cast("long").alias("side"), "id", "n", "component", *_WORD_COLUMNS)
+    return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), "key", F.when((low == high) | (F.col("block") == low), 0).otherwise(1).cast("long").alias("side"), "id", "n", "component")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -270,7 +312,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     read = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().cast("binary").alias("text"))
     signs = materialise(_signatures(read, n, num, den), "signatures")
     same = ["n", "f1", "f2"]
-    firsts = signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"))
+    firsts = materialise(signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep")), "firsts")
     members = signs.select("id", *same).join(firsts, same, "left").select("id", "n", "rep")
     alone = signs.where(F.size("keys") > 0).join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
 
@@ -279,23 +321,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     rows = rows.select("key", "id", "n", F.lag("id").over(in_tile).alias("before"), F.lead("id").over(in_tile).alias("after"))
     tiles = materialise(rows.where("before is not null or after is not null").select("key", "id", "n", "before"), "tiles")
     ids = tiles.select("id").distinct()
-    marks = materialise(signs.join(ids, "id", "left_semi").select("id", "n", *_WORD_COLUMNS).dropDuplicates(["id"]), "marks")
     sets = materialise(_sets(read.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]), "sets")
 
     chain = tiles.where("before < id").select(F.col("before").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_linked(chain, marks, sets, num, den), "links")
+    links = materialise(_linked(_open_pairs(chain, sets, num, den), sets, num, den), "links")
     groups = connected_components(links)
     large = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2").select("key")
-    spread = tiles.join(large, "key", "left_semi").select("key", "id", "n")
+    spread = tiles.join(large, "key", "left_semi").select("key", "id", "n").distinct()
     allowance = FIRST_ALLOWANCE
     while True:
         labelled = spread.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = labelled.join(mixed, "key", "left_semi").join(marks.drop("n"), "id")
-        found = materialise(_across(_blocks(left), allowance, num, den), "across")
+        left = materialise(labelled.join(mixed, "key", "left_semi"), "left")
+        keys = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        rows = _blocks(left).join(sets.select("id", "bitmap"), "id").join(keys, "id").select("tile", "key", "side", "id", "n", "component", "bitmap", "keys")
+        found = materialise(_across(rows, allowance, num, den), "across")
         if found.isEmpty():
             break
-        links = materialise(links.unionByName(_linked(found.select("a", "b").distinct(), marks, sets, num, den)).distinct(), "links")
+        links = materialise(links.unionByName(_linked(found.select("a", "b").distinct(), sets, num, den)).distinct(), "links")
         groups = connected_components(links)
         if found.where("more").isEmpty():
             break

@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, ngram_join, packing, pii, quality
+from docloom.llm import chat, exact_dedup, ngram_join, packing, piece_codec, pii, quality, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,35 @@ def vocabulary() -> tuple[str, str, int]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_256
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.chat_windows(turns.unionByName(probe), vocabulary()))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dimensions = {"lang": F.col("lang"), "source": F.col("source"), "bytes": F.octet_length("text")}
+    placed = sharding.hilbert_shards(docs, dimensions, 24, "rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audited_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -61,7 +91,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_quality, op7_exact_dedup, op8_ngram_join, op10_pii)}
+    return {f.__name__: f for f in (op1_chat, op2_sharding, op3_packing, op4_piece_codec, op5_quality, op6_warc, op7_exact_dedup, op8_ngram_join, op9_topk, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
