@@ -298,6 +298,26 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), "key", F.when((low == high) | (F.col("block") == low), 0).otherwise(1).cast("long").alias("side"), "id", "n", "component")
 
 
+def _ends(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their components (ca, cb)."""
+    end = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs whose ends are not connected yet."""
+    return _ends(pairs, groups).where("ca <> cb").select("a", "b")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links; only components that these touch are contracted."""
+    over = connected_components(_ends(links, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    known = groups.unionByName(over.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    moved = known.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
+    return materialise(moved.select("id", F.coalesce("top", "component").alias("component")), "groups")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -323,9 +343,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     ids = tiles.select("id").distinct()
     sets = materialise(_sets(read.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]), "sets")
 
-    chain = tiles.where("before < id").select(F.col("before").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_linked(_open_pairs(chain, sets, num, den), sets, num, den), "links")
-    groups = connected_components(links)
+    # First each set and the neighbour before it that it shares most tiles with; then the other
+    # neighbours, where these did not connect them.
+    chain = materialise(tiles.where("before < id").groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "chain")
+    nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    groups = connected_components(_linked(_open_pairs(nearest, sets, num, den), sets, num, den))
+    groups = _joined(groups, _linked(_open_pairs(_apart(chain, groups), sets, num, den), sets, num, den))
     large = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2").select("key")
     spread = tiles.join(large, "key", "left_semi").select("key", "id", "n").distinct()
     allowance = FIRST_ALLOWANCE
@@ -338,8 +361,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
         found = materialise(_across(rows, allowance, num, den), "across")
         if found.isEmpty():
             break
-        links = materialise(links.unionByName(_linked(found.select("a", "b").distinct(), sets, num, den)).distinct(), "links")
-        groups = connected_components(links)
+        groups = _joined(groups, _linked(found.select("a", "b").distinct(), sets, num, den))
         if found.where("more").isEmpty():
             break
         allowance *= 8
