@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def document_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Term frequencies, totals and idf of the documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tf = index.term_frequencies(docs, "doc_id", F.col("text"))
-    totals = index.lengths(docs, F.col("text"))
+    totals = index.lengths(docs, tf)
     return tf, totals, index.inverse_frequencies(tf, totals)
 
 
@@ -326,7 +327,8 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- a small corpus, end to end ----------------------------------------------------------------------------
 def small_index(spark: SparkSession) -> index.Index:
     rows = _cases(spark, [(rel, i, "text", None, [(unit, loc, row) for unit, loc, row in units]) for i, (rel, units) in enumerate(cases.CORPUS)], "rel string, file_ord long, kind string, skip string, units array<struct<text:string,loc:string,is_row:boolean>>")
-    return index.build_index(corpus.file_records(rows))
+    built = index.build_index(corpus.file_records(rows))
+    return replace(built, **{name: retrieve.held(getattr(built, name)) for name in index.Index.TABLES if getattr(built, name) is not None})
 
 
 def small_questions(spark: SparkSession) -> DataFrame:

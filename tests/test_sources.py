@@ -8,11 +8,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import models
+from docloom import cli, models
 from docloom.operators import answer as answering
-from docloom.operators import corpus, index
+from docloom.functions import recognition
+from docloom.operators import corpus, index, transcribe
 from docloom.plans import cases
-from docloom.sources import index_store, parsers, questions, results
+from docloom.sources import images, index_store, parsers, questions, results
 from docloom.sources import corpus as folder
 from docloom.streaming import ingest
 
@@ -133,3 +134,34 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = corpus.chunks(corpus.documents_as_files(docs)).select("chunk_id", "text")
     assert sorted(spark.read.parquet(str(tmp_path / "out" / "chunks")).select("chunk_id", "text").collect()) == sorted(batch.collect())
+
+
+def test_transcriptions_and_transcribed_files(spark):
+    shown = spark.createDataFrame([("a.png", b"1"), ("b.png", b"2")], "name string, content binary")
+    recorded = models.Recorded(transcriptions=spark.createDataFrame([("a.png", "TYPE: US_PLATE\nTEXT: Texas 7abc", [0.5, 0.25])], "name string, reply string, probabilities array<double>"))
+    out = sorted(tuple(r) for r in transcribe.transcriptions(shown, recorded).collect())
+    assert out == [("a.png", "7ABC", "US_PLATE", 0.3536), ("b.png", "", "SIGN", 0.0)]
+    assert {r.body for r in results.transcription_json(transcribe.transcriptions(shown, recorded)).collect()} == {'{"text":"7ABC","confidence":0.3536}', '{"text":"","confidence":0.0}'}
+    parsed = spark.createDataFrame([("x_WITHDRAWN.png", 0, "image", None, []), ("s.pdf", 1, "pdf_scanned", None, []), ("e.png", 2, "image", None, []), ("t.txt", 3, "text", None, [("t", "file", False)])], f"rel string, file_ord long, kind string, skip string, units {folder.UNITS}")
+    pages = spark.createDataFrame([("x_WITHDRAWN.png", 1, "B14: FAN", None), ("s.pdf", 2, "two", None), ("s.pdf", 1, "one", None), ("e.png", 1, None, "broken")], "rel string, page int, text string, error string")
+    filled = transcribe.with_transcribed(parsed, pages)
+    files = {r.rel: r for r in corpus.file_records(filled).collect()}
+    assert files["s.pdf"].text == "one\ntwo" and [u.loc for u in files["s.pdf"].units] == ["page 1", "page 2"]
+    assert not files["x_WITHDRAWN.png"].withdrawn and set(files) == {"x_WITHDRAWN.png", "s.pdf", "t.txt"}
+    assert [tuple(r) for r in corpus.skipped(filled).collect()] == [("e.png", "ocr failed: broken")]
+
+
+def test_scaled_sizes_equal_the_expression(spark):
+    for w, h in ((800, 600), (3200, 1600), (320, 100), (1, 1), (5000, 1)):
+        s = spark.range(1).select(recognition.model_size(F.lit(w), F.lit(h)).alias("s")).first().s
+        assert (s.width, s.height) == images.scaled_size(w, h, 640, 1600)
+
+
+def test_command_line(spark, root, tmp_path):
+    (tmp_path / "replies.json").write_text("\n".join(json.dumps({"qid": q, "reply": r}) for q, _, r, *_ in cases.QUESTIONS))
+    (tmp_path / "ask.json").write_text(json.dumps([{"id": q, "question": said} for q, said, *_ in cases.QUESTIONS]))
+    args = ["--index", root, "--store", str(tmp_path / "store"), "--query-file", str(tmp_path / "ask.json"), "--replies", str(tmp_path / "replies.json"), "--output-dir", str(tmp_path / "out")]
+    assert cli.main(args, spark) == 0
+    for q, _, _, answer, cited, sure in cases.QUESTIONS:
+        assert json.loads((tmp_path / "out" / f"{q}_output.json").read_text()) == {"answer": answer, "citations": cited, "confidence": sure}
+    assert cli.asked(spark, cli.arguments(["--store", "x", "what", "is", "it"])).first().question == "what is it"
