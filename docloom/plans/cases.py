@@ -192,6 +192,15 @@ QUESTIONS = [
     ("q4", "What was the original pump flow in revision 1?", '{"answer": "80", "sources": ["pump_r1.txt"]}', "80", ["specs/pump_r1.txt"], 0.9),
     ("q5", "   ", "{}", "", [], 0.0),
 ]
+SHOWN = ["logs/fan.log", "tickets/index.csv", "specs/pump_r2.txt"]
+# (id, question, answer, named files, shown files, citations)
+CITED = [
+    ("q1", QUESTIONS[0][1], "4.3.2", ["logs/fan.log", "tickets/index.csv"], SHOWN, ["tickets/index.csv", "logs/fan.log"]),
+    ("q2", QUESTIONS[1][1], "94 liters", ["specs/pump_r2.txt"], SHOWN, ["specs/pump_r2.txt"]),
+    ("q4", QUESTIONS[3][1], "80", ["specs/pump_r1.txt"], [*SHOWN, "specs/pump_r1.txt"], ["specs/pump_r1.txt"]),
+]
+UNCITED = [("q3", QUESTIONS[2][1], "12", [], SHOWN)]
+FILE_IDS = [("logs/fan.log", "ORR1847"), ("tickets/index.csv", "ORR1847"), ("tickets/index.csv", "432"), ("tickets/index.csv", "ORR2000"), ("tickets/index.csv", "440")]
 BRIDGES = [("q1", 0, "ORR1847"), ("q1", 1, "432"), ("q1", 2, "ORR2000"), ("q1", 3, "440")]
 RANKING = [
     ("q1", 0, "logs/fan.log", "file"),

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom import models
 from docloom.functions import fixed, recognition, replies, text
 from docloom.operators import citations, context, corpus, index, retrieve, score
-from docloom.operators import answer as answering
 from docloom.plans import cases, sql
 from docloom.sources import questions, results
 
@@ -355,12 +353,16 @@ def search_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("pos") < 4).select("qid", F.col("pos").cast("int").alias("pos"), "rel", "loc")
 
 
-@registered("SELECT qid, answer, citations, confidence FROM " + sql.values([(q, a, "|".join(c), n) for q, _, _, a, c, n in cases.QUESTIONS], "qid, answer, citations, confidence"))
+@registered("SELECT qid, citations FROM " + sql.values([(q, "|".join(c)) for q, *_, c in cases.CITED], "qid, citations"))
 def citations_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded replies to the questions on the small corpus, through to cited answers."""
-    recorded = models.Recorded(reply_table=_cases(spark, [(q, reply) for q, _, reply, *_ in cases.QUESTIONS], "qid string, reply string"))
-    found = answering.answer(small_index(spark), small_questions(spark), recorded)
-    return found.select("qid", "answer", F.array_join("citations", "|").alias("citations"), "confidence")
+    """Citations of answers on the small corpus; an answer that no shown file holds has no row."""
+    files = _cases(spark, [(rel, "\n".join(u[0] for u in units)) for rel, units in cases.CORPUS], "rel string, text string")
+    chunks = _cases(spark, [((i << 24) + k, rel, u[0]) for i, (rel, units) in enumerate(cases.CORPUS) for k, u in enumerate(units)], "chunk_id long, rel string, text string")
+    ids = _cases(spark, cases.FILE_IDS, "rel string, id string")
+    held = index.Index(files, chunks, None, None, None, ids, index.identifier_frequencies(ids))
+    ranking = _cases(spark, [("q1", 0, 0)], "qid string, chunk_id long, pos int")
+    answers = _cases(spark, [(q, said, a, named, shown) for q, said, a, named, shown, _ in cases.CITED] + cases.UNCITED, "qid string, question string, answer string, named array<string>, shown array<string>")
+    return citations.choose_citations(held, answers, ranking).select("qid", F.array_join("citations", "|").alias("citations"))
 
 
 @registered("SELECT id, resolved FROM " + sql.values([(i, "|".join(r)) for i, _, r in cases.NAMES], "id, resolved"))

@@ -55,6 +55,7 @@ def test_a_file_that_hangs_costs_itself_only(root, tmp_path):
     child.close()
 
 
+@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_index_is_built_once_and_answers(spark, root, tmp_path):
     held, built = index_store.ensure_index(spark, root, str(tmp_path / "index"))
     assert built
@@ -73,6 +74,7 @@ def test_index_is_built_once_and_answers(spark, root, tmp_path):
     assert index_store.ensure_index(spark, root, str(tmp_path / "index"))[1]
 
 
+@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_dense_ranking_and_picker(spark):
     files = corpus.documents_as_files(spark.createDataFrame([(1, "alpha value 5"), (2, "beta value 5"), (3, "gamma")], "doc_id long, text string"))
     built = index.build_index(files)
@@ -89,6 +91,7 @@ def test_dense_ranking_and_picker(spark):
     assert answering.answer(held, asked, recorded, recorded).first().citations == ["doc/1.txt"]
 
 
+@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_empty_index_and_no_questions(spark):
     held = index.build_index(corpus.documents_as_files(spark.createDataFrame([], "doc_id long, text string")))
     recorded = models.Recorded(reply_table=spark.createDataFrame([], "qid string, reply string"))
@@ -157,6 +160,7 @@ def test_scaled_sizes_equal_the_expression(spark):
         assert (s.width, s.height) == images.scaled_size(w, h, 640, 1600)
 
 
+@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_command_line(spark, root, tmp_path):
     (tmp_path / "replies.json").write_text("\n".join(json.dumps({"qid": q, "reply": r}) for q, _, r, *_ in cases.QUESTIONS))
     (tmp_path / "ask.json").write_text(json.dumps([{"id": q, "question": said} for q, said, *_ in cases.QUESTIONS]))
