@@ -20,7 +20,8 @@ def sf_dir(spark, tmp_path_factory):
     for k, (i, text) in enumerate(rows[:90]):
         words = text.split(" ")
         extra.append((1_000 + i, [text, text.replace(" ", "\n"), " ".join([*words[:-1], "end"]), f"{text} mail a{i}@b.co or +1 202 555 {i:04d}"][k % 4]))
-    rows += [*extra, (5_000, None), (5_001, "")]
+    private = [(7_000 + i, f"{text} mail a{i}@b.co") for i, text in rated(40, 9)[0]]
+    rows += [*extra, *private, (5_000, None), (5_001, "")]
     docs = [(i, t, "en", "src", None if t is None else len(t)) for i, t in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(g > 0), int(g == 1)) for i, g in grades]
