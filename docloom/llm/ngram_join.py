@@ -9,9 +9,11 @@
 3. Neighbours in a tile are compared first.  Bitmap signatures bound the intersection from above;
    pairs that may still link have their sorted arrays intersected.
 4. What is connected already needs no more comparisons.  Tiles that still hold several components
-   are compared across these, again by bitmaps and then exactly, in rounds that raise their
-   allowance until no pair is left over; two sets that share several tiles are compared in one of
-   them.  So a group of thousands of near copies costs a chain of comparisons, not its square.
+   are compared across these, again by bitmaps and then exactly.  First rounds take as few pairs
+   of a tile as would connect all that bitmaps leave open; when most of these no longer link,
+   rounds with a growing allowance follow until no pair is left over.  Two sets that share several
+   tiles are compared in one of them.  So a group of thousands of near copies costs a few spanning
+   trees of comparisons, not its square.
 """
 
 from __future__ import annotations
@@ -223,7 +225,8 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
     ``tiles``: (tile, key, side, id, n, component, bitmap, keys); a tile's rows in ``side`` 0 are
     compared with each other, or, where there is a side 1, with those.  Of the tiles that two rows
     share, that of the least key gives the pair.  For a row and a component of the others, the
-    likeliest ``allowance`` pairs are given; ``more`` says that there were more.
+    likeliest ``allowance`` pairs are given; ``more`` says that there were more.  An allowance of 0
+    gives a spanning forest of a tile's components over its open pairs.
     """
 
     def compare(table: pa.Table) -> tuple[list[int], list[int], list[bool]]:
@@ -238,6 +241,7 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
             shared[i, : len(own)] = own
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)), None)
         out: tuple[list[int], list[int], list[bool]] = ([], [], [])
+        comps = comps.copy()  # a forest's pairs join components
         for k, i in enumerate(left):
             others = left[k + 1 :] if right is None else right
             others = others[(comps[others] != comps[i]) & (sizes[others] * den >= num * sizes[i]) & (sizes[i] * den >= num * sizes[others])]
@@ -258,7 +262,9 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
             ranked = others[order]
             starts = np.flatnonzero(np.concatenate(([True], comps[ranked][1:] != comps[ranked][:-1])))
             place = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.append(starts, len(ranked))))
-            near = ids[ranked[place < allowance]]
+            near = ids[ranked[place < max(1, allowance)]]
+            if not allowance:
+                comps[np.isin(comps, comps[ranked[starts]])] = comps[i]
             out[0].extend(np.minimum(near, ids[i]).tolist())
             out[1].extend(np.maximum(near, ids[i]).tolist())
             out[2].extend([bool((place >= allowance).any())] * len(near))
@@ -343,15 +349,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     ids = tiles.select("id").distinct()
     sets = materialise(_sets(read.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]), "sets")
 
-    # First each set and the neighbour before it that it shares most tiles with; then the other
-    # neighbours, where these did not connect them.
-    chain = materialise(tiles.where("before < id").groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "chain")
+    # First each set and the neighbour before it that it shares most tiles with; then pairs that are
+    # a tile by themselves, where these did not connect them.
+    large = materialise(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2").select("key"), "large")
+    pairs = tiles.where("before < id").join(large.withColumn("large", F.lit(1)), "key", "left")
+    chain = materialise(pairs.groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("large").isNull()).alias("alone")), "chain")
     nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     groups = connected_components(_linked(_open_pairs(nearest, sets, num, den), sets, num, den))
-    groups = _joined(groups, _linked(_open_pairs(_apart(chain, groups), sets, num, den), sets, num, den))
-    large = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2").select("key")
+    groups = _joined(groups, _linked(_open_pairs(_apart(chain.where("alone"), groups), sets, num, den), sets, num, den))
     spread = tiles.join(large, "key", "left_semi").select("key", "id", "n").distinct()
-    allowance = FIRST_ALLOWANCE
+    allowance = 0
     while True:
         labelled = spread.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -361,10 +368,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
         found = materialise(_across(rows, allowance, num, den), "across")
         if found.isEmpty():
             break
-        groups = _joined(groups, _linked(found.select("a", "b").distinct(), sets, num, den))
-        if found.where("more").isEmpty():
-            break
-        allowance *= 8
+        tried = found.select("a", "b").distinct()
+        linked = materialise(_linked(tried, sets, num, den), "linked")
+        groups = _joined(groups, linked)
+        if allowance:
+            if found.where("more").isEmpty():
+                break
+            allowance *= 8
+        elif 2 * linked.count() < tried.count():
+            allowance = FIRST_ALLOWANCE
     joined = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "id"))
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
