@@ -4,7 +4,7 @@ Detectors run twice: over the text, and over a text that transducers have normal
 full-width characters, invisible characters, spelled digits, ``[at]`` and ``(dot)`` disguises).
 Every normalised character remembers the source characters that it stands for, so spans found
 there are mapped back to source offsets.  Spans found in the text itself always stay; those of the
-normalised text are added where they overlap none of their kind.
+normalised text are added unless spans of their kind already cover them completely.
 """
 
 from __future__ import annotations
@@ -171,21 +171,34 @@ def normalise(text: str) -> Mapped | None:
     return mapped
 
 
+def _covered(span: Span, spans: list[Span]) -> bool:
+    """Whether spans of the same kind cover ``span``, alone or together."""
+    at = span.start
+    for s in sorted(s for s in spans if s.kind == span.kind):
+        if s.start > at:
+            break
+        at = max(at, s.end)
+    return at >= span.end
+
+
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """The spans of the text itself and those that deobfuscation adds, in source code points."""
+    """The spans of the text itself and those that deobfuscation adds, in source code points.
+
+    An added span may overlap spans of the text itself that are only a part of it.
+    """
     base = detect(text)
     mapped = normalise(text)
     added: list[Span] = []
     if mapped:
         for s in detect(mapped.text):
             span = Span(s.kind, mapped.start[s.start], mapped.end[s.end - 1])
-            if all(span.end <= o.start or o.end <= span.start for o in (*base, *added) if o.kind == span.kind):
+            if not _covered(span, base + added):
                 added.append(span)
     return base, added
 
 
 def joined(spans: list[Span]) -> str:
-    """kind:start:end by kind as listed in KINDS, then start; comma-joined."""
+    """kind:start:end by kind as listed in KINDS, then start and end; comma-joined."""
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(spans, key=lambda s: (KINDS.index(s.kind), s.start, s.end)))
 
 

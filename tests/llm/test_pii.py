@@ -58,6 +58,30 @@ def test_disguises_map_back_to_the_source():
     assert added("jane\u200b@example.com") == [("email", "jane\u200b@example.com")]
 
 
+def test_partly_disguised_identifiers_get_their_full_span():
+    for text, kind, base in (
+        ("jаne@example.com", "email", "ne@example.com"),
+        ("jane.d\u200boe@example.com", "email", "oe@example.com"),
+        ("jane@mail.exаmple.com", "email", "jane@mail.ex"),
+        ("+1 202 555 01４７", "phone", "+1 202 555 01"),
+        ("+49 30 123456 seven eight nine", "phone", "+49 30 123456"),
+        ("192.168.1.1７", "ip", "192.168.1.1"),
+        ("4111 1111 1111 1111３", "card", "4111 1111 1111 1111"),
+    ):
+        found, more = pii.find_spans(f"to {text}!")
+        assert [(s.kind, f"to {text}!"[s.start : s.end]) for s in found] == [(kind, base)]
+        assert more == [(kind, 3, 3 + len(text))]
+        assert pii.masked(f"to {text}!", found + more) == f"to <{kind.upper()}>!"
+
+
+def test_a_span_is_added_unless_others_cover_it():
+    text = "a@b.co and а@b.co and +1 202 555 0147, +1 202 555 01４７"
+    base, more = pii.find_spans(text)
+    assert [(s.kind, text[s.start : s.end]) for s in more] == [("email", "а@b.co"), ("phone", "+1 202 555 01４７")]
+    assert pii.masked(text, base + more) == "<EMAIL> and <EMAIL> and <PHONE>, <PHONE>"
+    assert pii.masked("0123456789", [pii.Span("phone", 4, 8), pii.Span("phone", 2, 6)]) == "01<PHONE>89"
+
+
 def test_clean_texts_are_left_alone():
     for text in ("look at the dot in one two three words", "meet at noon dot the i", "Das ist ein Text über zwei, drei at home.", "Привет, как дела? 12 мая в 10:30", "a [at] b", "1 2 3 4 5 6 7"):
         assert pii.find_spans(text) == ([], [])
