@@ -1,12 +1,13 @@
 """Command line: build or check an index, answer questions from recorded replies.
 
-    python -m docloom.cli --index FOLDER --store FOLDER [--query TEXT | --query-file FILE] [--replies FILE] [--output-dir FOLDER]
+    python -m docloom.cli --index FOLDER --store FOLDER [--query TEXT | --query-file FILE] [--replies FILE] [--transcriptions FILE] [--vectors FILE] [--query-vectors FILE] [--output-dir FOLDER]
 """
 
 from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--query-id", "--query_id", "--qid", "--id", "--question-id", dest="qid")
     parser.add_argument("--query-file", "--input", "--input-file", "--questions", dest="file")
     parser.add_argument("--replies", metavar="FILE", help="JSON lines of qid and reply of the reader model")
+    parser.add_argument("--transcriptions", metavar="FILE", help="JSON lines of name (path, or path#page=N) and reply of the transcriber model")
+    parser.add_argument("--vectors", metavar="FILE", help="JSON lines of chunk_id and vector of the embedding model")
+    parser.add_argument("--query-vectors", metavar="FILE", help="JSON lines of qid and query_vector of the embedding model")
     parser.add_argument("--output-dir", "--output_dir", dest="output", default="output")
     known, rest = parser.parse_known_args(argv)
     known.rest = " ".join(r for r in rest if not r.startswith("-"))
@@ -46,15 +50,21 @@ def asked(spark: SparkSession, args: argparse.Namespace):
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("docloom").getOrCreate()
+    read = lambda path, schema: spark.read.schema(schema).json(path) if path else None
+    recorded = models.Recorded(
+        query_vectors=read(args.query_vectors, "qid string, query_vector array<double>"),
+        chunk_vectors=read(args.vectors, "chunk_id long, vector array<double>"),
+        transcriptions=read(args.transcriptions, "name string, reply string, probabilities array<double>"),
+    )
     if args.index:
-        index_store.ensure_index(spark, args.index, args.store)
+        index_store.ensure_index(spark, args.index, args.store, recorded if args.transcriptions else None, recorded if args.vectors else None)
         index_store.report(spark, args.store).show(truncate=False)
     queries = asked(spark, args)
     if queries is None:
         return 0
     schema = "qid string, reply string"
     replies = spark.read.schema(schema).json(args.replies) if args.replies else spark.createDataFrame([], schema)
-    found = answer(index_store.load_index(spark, args.store), queries, models.Recorded(reply_table=replies))
+    found = answer(index_store.load_index(spark, args.store), queries, replace(recorded, reply_table=replies), recorded if args.query_vectors else None)
     return 0 if results.write_files(results.answer_json(found), args.output) else 1
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import recognition
+from docloom.functions.text import strip
 from docloom.models import Transcriber
 
 
@@ -16,6 +17,13 @@ def transcriptions(images: DataFrame, transcriber: Transcriber) -> DataFrame:
     return images.select("name").join(cleaned, "name", "left").select("name", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("kind", F.lit("SIGN")).alias("kind"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
+def page_texts(pages: DataFrame, transcriber: Transcriber) -> DataFrame:
+    """(rel, page, text, error) of rendered pages (rel, page, name, content, error)."""
+    read = transcriber.transcribe(pages.where("content is not null").select("name", "content")).select("name", strip("reply").alias("text"))
+    told = pages.select("rel", "page", "name", "error").join(read, "name", "left")
+    return told.select("rel", "page", "text", F.coalesce("error", F.when(F.col("text").isNull(), "no reply")).alias("error"))
+
+
 def with_transcribed(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """Parse results with units for images and scanned PDF files, from pages (rel, page, text, error).
 

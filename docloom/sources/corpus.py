@@ -8,6 +8,7 @@ The folder must be one that all executors see.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import select
@@ -15,14 +16,17 @@ import subprocess
 import sys
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docloom.functions import fixed
-from docloom.sources import parsers
+from docloom.sources import images, parsers
 
 UNITS = "array<struct<text:string,loc:string,is_row:boolean>>"
 SCHEMA = f"rel string, file_ord long, size long, mtime_ns long, kind string, skip string, units {UNITS}"
+PAGES = "rel string, page int, name string, content binary, error string"
 FILES_PER_PARTITION = 64
 SECONDS_PER_FILE = 60
 
@@ -65,19 +69,37 @@ def parse_path(root: str, rel: str) -> dict:
         return {"skip": f"{type(error).__name__}: {error}"}
 
 
+def render_path(root: str, rel: str) -> dict:
+    """``{pages}`` of an image or a PDF file, pairs of number and PNG in base64, or ``{skip}``."""
+    try:
+        with open(os.path.join(root, rel), "rb") as file:
+            pages = images.corpus_pages(rel, file.read())
+            return {"pages": [(number, base64.b64encode(png).decode()) for number, png in pages]}
+    except parsers.Skip as reason:
+        return {"skip": str(reason)}
+    except Exception as error:  # a row for every file, whatever its library does
+        return {"skip": f"{type(error).__name__}: {error}"}
+
+
 class ParseProcess:
-    """A child that parses files, one line of JSON each way."""
+    """A child that parses or renders files, one line of JSON each way."""
 
     def __init__(self, root: str, seconds: float = SECONDS_PER_FILE) -> None:
         self.root, self.seconds, self.child = root, seconds, None
 
     def parse(self, rel: str) -> dict:
+        return self._ask("parse", rel)
+
+    def render(self, rel: str) -> dict:
+        return self._ask("render", rel)
+
+    def _ask(self, task: str, rel: str) -> dict:
         if self.child is None or self.child.poll() is not None:
             here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
             env = os.environ | {"PYTHONPATH": os.pathsep.join([here, os.environ.get("PYTHONPATH", "")])}
             self.child = subprocess.Popen([sys.executable, "-m", "docloom.sources.parse_child", self.root], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=env)
         try:
-            self.child.stdin.write((json.dumps(rel) + "\n").encode())
+            self.child.stdin.write((json.dumps([task, rel]) + "\n").encode())
             self.child.stdin.flush()
             ready, _, _ = select.select([self.child.stdout], [], [], self.seconds)
             line = self.child.stdout.readline() if ready else b""
@@ -148,6 +170,28 @@ def read_corpus(spark: SparkSession, root: str, **options: object) -> DataFrame:
     return spark.read.format("docloom_corpus").options(**options).load(root)
 
 
+def rendered_pages(parsed: DataFrame, root: str) -> DataFrame:
+    """Pages (rel, page, name, content, error) of the images and scanned PDF files among parse results.
+
+    ``name`` is one of its kind in the corpus: the path of an image, a PDF file's path and page.
+    A file that can't be rendered has one row, without content and with the reason.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        child = ParseProcess(root)
+        try:
+            for frame in frames:
+                for rel in frame["rel"]:
+                    found = child.render(rel)
+                    scanned = parsers.kind_of(rel) == "pdf"
+                    rows = [(rel, n, f"{rel}#page={n}" if scanned else rel, base64.b64decode(png), None) for n, png in found.get("pages", [])]
+                    yield pd.DataFrame(rows or [(rel, None, None, None, found.get("skip", "no pages"))], columns=["rel", "page", "name", "content", "error"]).astype({"page": "Int32"})
+        finally:
+            child.close()
+
+    return parsed.where(F.col("kind").isin("image", "pdf_scanned") & F.col("skip").isNull()).select("rel").mapInPandas(run, PAGES)
+
+
 def signature(spark: SparkSession, root: str) -> DataFrame:
     """(rel, size, mtime_ns) of every file."""
     return read_corpus(spark, root, parse="false").select("rel", "size", "mtime_ns")

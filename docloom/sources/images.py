@@ -6,7 +6,7 @@ import io
 from collections.abc import Iterator
 
 from docloom.functions import fixed
-from docloom.sources.parsers import Skip
+from docloom.sources.parsers import Skip, kind_of
 
 SCANNED_PAGES, SCALE = 8, 2
 
@@ -51,3 +51,16 @@ def scanned_pages(data: bytes, most: int = SCANNED_PAGES) -> Iterator[tuple[int,
     with pypdfium2.PdfDocument(data) as document:
         for i in range(min(most, len(document))):
             yield i + 1, document[i].render(scale=SCALE).to_pil().convert("RGB")
+
+
+def _png(image) -> bytes:
+    out = io.BytesIO()
+    image.save(out, "PNG")
+    return out.getvalue()
+
+
+def corpus_pages(name: str, data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(number, PNG) of what a transcriber is to read of a corpus file: an image, or a PDF file's first pages."""
+    pages = ((n, _png(page)) for n, page in scanned_pages(data)) if kind_of(name) == "pdf" else [(1, data)]
+    for number, page in pages:
+        yield number, _png(load_image(page, fixed.CORPUS_MIN_SIDE))

@@ -3,13 +3,14 @@
 import json
 import sys
 
-from docloom.sources.corpus import parse_path
+from docloom.sources.corpus import parse_path, render_path
 
 
 def main(root: str) -> None:
     replies, sys.stdout = sys.stdout, sys.stderr  # what a parser prints stays off the channel
     for line in sys.stdin:
-        replies.write(json.dumps(parse_path(root, json.loads(line))) + "\n")
+        task, rel = json.loads(line)
+        replies.write(json.dumps({"parse": parse_path, "render": render_path}[task](root, rel)) + "\n")
         replies.flush()
 
 

@@ -100,6 +100,71 @@ def test_empty_index_and_no_questions(spark):
     assert answering.answer(held, asked.limit(0), recorded).collect() == []
 
 
+STUBS = {
+    "pypdf.py": "class Page:\n    def extract_text(self, **_): return ''\nclass PdfReader:\n    is_encrypted = False\n    pages = [Page(), Page()]\n    def __init__(self, data, strict): pass\n",
+    "pypdfium2.py": """
+from PIL.Image import Picture
+class Page:
+    def __init__(self, n): self.n = n
+    def render(self, scale): return self
+    def to_pil(self): return Picture(b"scan %d" % self.n)
+class PdfDocument:
+    def __init__(self, data): pass
+    def __enter__(self): return self
+    def __exit__(self, *_): pass
+    def __len__(self): return 2
+    def __getitem__(self, i): return Page(i + 1)
+""",
+    "PIL/__init__.py": "",
+    "PIL/ImageOps.py": "def exif_transpose(image): return image\n",
+    "PIL/Image.py": """
+class Picture:
+    mode, size, info = "RGB", (800, 600), {}
+    def __init__(self, data): self.data = data
+    def getbands(self): return "RGB"
+    def convert(self, mode): return self
+    def save(self, out, kind): out.write(self.data)
+def open(file):
+    data = file.read()
+    if data == b"broken": raise ValueError("bad image")
+    return Picture(data)
+""",
+}
+
+
+def test_folder_index_holds_transcriptions_and_vectors(spark, tmp_path, monkeypatch):
+    for name, body in STUBS.items():
+        (tmp_path / "stubs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "stubs" / name).write_text(body)
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", str(tmp_path / "stubs"))
+    root, path = tmp_path / "corpus", str(tmp_path / "index")
+    root.mkdir()
+    for name, data in (("a.png", b"picture"), ("b.png", b"broken"), ("mute.png", b"unread"), ("s.pdf", b"%PDF"), ("t.txt", b"plain")):
+        (root / name).write_bytes(data)
+
+    class Models:
+        def transcribe(self, shown):
+            return shown.where("name <> 'mute.png'").select("name", F.concat(F.lit(" saw "), F.col("content").cast("string"), F.lit("\n")).alias("reply"), F.array(F.lit(1.0)).alias("probabilities"))
+
+        def chunks(self, parts):
+            return parts.select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+
+    left_out = lambda: {s.rel: s.reason for s in index_store.report(spark, path).first().skipped}
+    held, built = index_store.ensure_index(spark, str(root), path)
+    assert built and held.vectors is None and [f.rel for f in held.files.collect()] == ["t.txt"]
+    assert left_out() == dict.fromkeys(["a.png", "b.png", "mute.png", "s.pdf"], "not transcribed")
+    held, built = index_store.ensure_index(spark, str(root), path, Models(), Models())
+    assert built and {f.rel: f.text for f in held.files.collect()} == {"a.png": "saw picture", "s.pdf": "saw scan 1\nsaw scan 2", "t.txt": "plain"}
+    assert {(c.rel, c.loc) for c in held.chunks.collect()} == {("a.png", "text in image"), ("s.pdf", "page 1"), ("s.pdf", "page 2"), ("t.txt", "file")}
+    assert {v.chunk_id for v in held.vectors.collect()} == {c.chunk_id for c in held.chunks.collect()}
+    assert left_out() == {"b.png": "ocr failed: ValueError: bad image", "mute.png": "ocr failed: no reply"}
+    held, built = index_store.ensure_index(spark, str(root), path, Models(), Models())
+    assert not built and held.vectors.count() == 4
+    (root / "new.txt").write_text("new")
+    held, built = index_store.ensure_index(spark, str(root), path)
+    assert built and index_store.load_index(spark, path).vectors is None and held.files.count() == 2
+
+
 def zipped(**parts):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
