@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -83,25 +84,48 @@ def detect(text: str) -> list[Span]:
 
 # --- transducers -----------------------------------------------------------------------------------
 # Characters that look like an ASCII one, by script.
-_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеоресухіјѕһԁԛԝ", "ABESIJKMHOPCTYXaeopecyxijshdqw", strict=True))
-_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEZHIKMNOPTYXoiv", strict=True))
+_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеоресухіјѕһԁԛԝкѵѡүӏҮѴԌӀԚԜ", "ABESIJKMHOPCTYXaeopecyxijshdqwkvwylYVGIQW", strict=True))
+_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινακρυχγτηεωϲϳ", "ABEZHIKMNOPTYXoivakpuxytnewcj", strict=True))
+_LATIN = {"ı": "i", "ɡ": "g", "ſ": "s"}
 _SIGNS = {"․": ".", "。": ".", "∙": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", " ": " ", " ": " ", " ": " "}
 _INVISIBLE = dict.fromkeys("­​‌‍⁠﻿", "")
 _FULL_WIDTH = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _DIGITS = {chr(base + d): str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
-CHARACTERS = _CYRILLIC | _GREEK | _SIGNS | _INVISIBLE | _FULL_WIDTH | _DIGITS
-# Spelled digits.
+_PLAIN = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D7CC))}
+#: Mathematical and letter-like signs of one letter, Latin or Greek.
+_MATHEMATICAL = {c: _GREEK.get(p, p) for c, p in _PLAIN.items() if len(p) == 1 and (p in _GREEK or p.isascii() and p.isalpha())}
+CHARACTERS = _CYRILLIC | _GREEK | _LATIN | _SIGNS | _INVISIBLE | _FULL_WIDTH | _DIGITS | _MATHEMATICAL
+# Spelled digits, in the languages of the documents.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_LOOKALIKE = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
-_NAME = "|".join(SPELLED)
+SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+SPELLED |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+
+#: Beyond the basic plane a whole range, which the matcher takes at once; not all of it are look-alikes.
+_LOOKALIKE = re.compile("[" + "".join(re.escape(c) for c in CHARACTERS if c < "\U00010000") + "\U0001D400-\U0001D7FF]")
+_STARTS: dict[str, list[str]] = {}
+for _word in sorted(SPELLED, key=len, reverse=True):
+    _STARTS.setdefault(_word[0], []).append(_word[1:])
+#: By first letter, which the matcher tells apart at once in lower case.
+_NAME = "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in _STARTS.items())
+_PLUS, _DOT, _DASH = "plus|más|mas", "dot|point|punkt|punto", "dash|strich|tiret|guion|guión"
 #: Three spelled digits in a row at least, single words between them; "plus", "dot" and "point" may stand among them.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_NAME}|[0-9])(?:(?:[ ,-]{{1,3}}|[ ]?(?:dot|point)[ ]?|[ ]dash[ ])(?:{_NAME}|[0-9])){{2,}}(?![A-Za-z0-9])", re.IGNORECASE)
-_SPELLED_WORD = re.compile(rf"(plus)[ -]+|({_NAME})|([ ]?(?:dot|point)[ ]?)|([ ]dash[ ])|([ ,-]{{1,3}})", re.IGNORECASE)
-_BRACKETED = re.compile(r"[ ]{0,2}(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>)[ ]{0,2}", re.IGNORECASE)
-#: name at host dot end; the bare words count only together and before a common last label.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}([ ]at[ ])[A-Za-z0-9-]{1,63}((?:[ ]dot[ ][A-Za-z0-9-]{2,63}){0,2}[ ]dot[ ](?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|us|ca|ch|at|it|nl))(?![A-Za-z0-9])", re.IGNORECASE)
-_BARE_DOT = re.compile(r"[ ]dot[ ]", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})[ -]+)?(?:{_NAME}|[0-9])(?:(?:[ ,-]{{1,3}}|[ ]?(?:{_DOT})[ ]?|[ ](?:{_DASH})[ ])(?:{_NAME}|[0-9])){{2,}}(?![^\W_])")
+_SPELLED_WORD = re.compile(rf"({_PLUS})[ -]+|({_NAME})|([ ]?(?:{_DOT})[ ]?)|([ ](?:{_DASH})[ ])|([ ,-]{{1,3}})")
+#: Words for the at sign and the dot that belong together; "at .. point" is everyday English.
+_AT_DOT = (("at", "dot"), ("at|ät|klammeraffe", "punkt"), ("arobase|arobas", "point"), ("arroba", "punto"))
+_AT_WORDS = frozenset(word for ats, _ in _AT_DOT for word in ats.split("|"))
+_ANY = "|".join(sorted({word for pair in _AT_DOT for words in pair for word in words.split("|")}, key=len, reverse=True))
+_BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\[[ ]?({_ANY})[ ]?\]|\([ ]?({_ANY})[ ]?\)|\{{[ ]?({_ANY})[ ]?\}}|<[ ]?({_ANY})[ ]?>)[ ]{{0,2}}", re.IGNORECASE)
+#: name at host dot end; the bare words count only together.
+_BARE = tuple(
+    re.compile(rf"(?<=[A-Za-z0-9._%+-])([ ](?:{ats})[ ])([A-Za-z0-9-]{{1,63}})((?:[ ]{dot}[ ][A-Za-z0-9-]{{2,63}}){{0,2}}[ ]{dot}[ ]([A-Za-z]{{2,63}}))(?![A-Za-z0-9])", re.IGNORECASE)
+    for ats, dot in _AT_DOT
+)
+_BARE_DOT = re.compile(r"[ ](?:dot|punkt|point|punto)[ ]", re.IGNORECASE)
+#: Words that are no host of an address, and words that are no top-level domain.
+_NO_HOST = frozenset("a an the this that these those my your his her its our their some any each every one der die das dem den ein eine le la les un une el los las una".split())
+_NO_END = frozenset("the this that these those and or but with from for was were are his her its our their der die das dem den und oder ein eine mit les des une est avec pour los las una con por que".split())
 
 
 class Mapped(NamedTuple):
@@ -124,23 +148,26 @@ class Mapped(NamedTuple):
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
+    text = text.replace("İ", "i").lower()  # the one letter that lower case makes longer
     for run in _SPELLED.finditer(text):
-        if not re.search(_NAME, run[0], re.IGNORECASE):
+        if not re.search(_NAME, run[0]):
             continue
         for m in _SPELLED_WORD.finditer(text, *run.span()):
             plus, name, dot, dash, gap = m.groups()
             if plus or name or dot or dash:
-                edits.append((*m.span(), "+" if plus else SPELLED[name.lower()] if name else "." if dot else "-"))
+                edits.append((*m.span(), "+" if plus else SPELLED[name] if name else "." if dot else "-"))
             elif gap:
                 edits.append((*m.span(), ""))
     return edits
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@" if "at" in m[0].lower() else ".") for m in _BRACKETED.finditer(text)]
-    for m in _BARE.finditer(text):
-        edits.append((*m.span(1), "@"))
-        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, *m.span(2))]
+    edits = [(*m.span(), "@" if m[m.lastindex].lower() in _AT_WORDS else ".") for m in _BRACKETED.finditer(text)]
+    for pattern in _BARE:
+        for m in pattern.finditer(text):
+            if m[2].lower() not in _NO_HOST and m[4].lower() not in _NO_END:
+                edits.append((*m.span(1), "@"))
+                edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, *m.span(3))]
     out: list[tuple[int, int, str]] = []
     for edit in sorted(edits):
         if not out or edit[0] >= out[-1][1]:
@@ -149,7 +176,13 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 #: Nothing is disguised by at or dot without one of these.
-_HINTS = ("dot", *(f"at{gap}{close}" for gap in ("", " ") for close in "])}>"))
+_HINTS = ("dot", "punkt", "punto", "arob")
+_CLOSED_HINTS = tuple(f"{word}{gap}{close}" for word in ("at", "ät", "klammeraffe", "arroba", "point") for gap in ("", " ") for close in "])}>")
+
+
+def _hinted(text: str) -> bool:
+    lower = text.lower()
+    return any(hint in lower for hint in _HINTS) or any(close in lower for close in "])}>") and any(hint in lower for hint in _CLOSED_HINTS)
 
 
 def normalise(text: str) -> Mapped | None:
@@ -163,10 +196,9 @@ def normalise(text: str) -> Mapped | None:
             mapped = (mapped or Mapped(text, list(range(len(text))), list(range(1, len(text) + 1)))).replaced(edits)
 
     if not text.isascii():
-        edited(lambda t: [(m.start(), m.end(), CHARACTERS[m[0]]) for m in _LOOKALIKE.finditer(t)])
+        edited(lambda t: [(m.start(), m.end(), CHARACTERS[m[0]]) for m in _LOOKALIKE.finditer(t) if m[0] in CHARACTERS])
     edited(_spelled_edits)
-    lower = (mapped.text if mapped else text).lower()
-    if any(hint in lower for hint in _HINTS):
+    if _hinted(mapped.text if mapped else text):
         edited(_disguise_edits)
     return mapped
 

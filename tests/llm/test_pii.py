@@ -82,6 +82,25 @@ def test_a_span_is_added_unless_others_cover_it():
     assert pii.masked("0123456789", [pii.Span("phone", 4, 8), pii.Span("phone", 2, 6)]) == "01<PHONE>89"
 
 
+def test_disguises_of_all_languages_and_scripts():
+    for text in (
+        "jane at example dot dev", "jane at mail dot example dot pl", "jane AT example DOT jp", "jane at example dot in",
+        "jane ät beispiel punkt de", "jane at beispiel punkt de", "jane klammeraffe beispiel punkt de", "jane arobase exemple point fr", "juana arroba ejemplo punto es",
+        "jane (ät) beispiel (punkt) de", "jane [arobase] exemple [point] fr", "juana {arroba} ejemplo {punto} es",
+        "𝐣𝐚𝐧𝐞@𝒆𝓍𝖺𝚖𝗽𝑙𝔢.com", "jαne@exαmρle.com", "ja𝛎e@example.com", "ℎans@example.com", "кate@examрӏe.com",
+    ):
+        assert added(f"schreib {text}, ok") == [("email", text)], text
+    for text in (
+        "plus vier neun drei null eins zwei fünf sechs sieben acht", "Plus vier neun, drei null, eins zwei fuenf sechs sieben zwo",
+        "plus trois trois un deux quatre cinq six sept huit neuf zéro", "más tres cuatro nueve uno dos cero cinco seis siete ocho",
+    ):
+        assert added(f"tel {text}.") == [("phone", text)], text
+    assert added("ip eins neun zwei punkt eins sechs acht punkt eins punkt sieben!") == [("ip", "eins neun zwei punkt eins sechs acht punkt eins punkt sieben")]
+    assert added("plus fİve fıve ſix five five five five five five") == [("phone", "plus fİve fıve ſix five five five five five five")]
+    for text in ("we stopped at some point in time", "look at this point we know", "stay at the dot com office", "un deux trois, nous irons au bois", "Zwei, drei, vier Leute am Punkt", "il est un point", "el punto de vista"):
+        assert pii.find_spans(text) == ([], []), text
+
+
 def test_clean_texts_are_left_alone():
     for text in ("look at the dot in one two three words", "meet at noon dot the i", "Das ist ein Text über zwei, drei at home.", "Привет, как дела? 12 мая в 10:30", "a [at] b", "1 2 3 4 5 6 7"):
         assert pii.find_spans(text) == ([], [])
