@@ -136,9 +136,14 @@ def _sum64(x: np.ndarray) -> int:
     return int(np.sum(x, dtype=np.uint64).astype(np.int64)) if len(x) else 0
 
 
+def _fingerprints(hashes: np.ndarray) -> tuple[int, int]:
+    return _sum64(_mixed(hashes ^ _M2)), _sum64(_mixed(hashes + _M1))
+
+
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, f1, f2, keys) of each document: size and fingerprints of its set, and its tiles."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(id, digest, n, f1, f2, keys) of each document (id, text, digest): size and fingerprints of its
+    set, and its tiles."""
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -147,27 +152,36 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for text in batch.column(1):
                 hashes = shingle_set(text.as_buffer().to_pybytes(), n, words)
                 sizes.append(len(hashes))
-                f1.append(_sum64(_mixed(hashes ^ _M2)))
-                f2.append(_sum64(_mixed(hashes + _M1)))
+                first, second = _fingerprints(hashes)
+                f1.append(first)
+                f2.append(second)
                 keys.append(_signed(tile_keys(hashes, num, den)))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2)), lists], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, digest long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, bitmap, hashes) of each document."""
+    """(id, n, bitmap, hashes) of each row (id, text, n, f1, f2) whose text has the set of that size and
+    these fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in byte_blocks(batches, 1, 4_000_000):
-            sets = [shingle_set(text.as_buffer().to_pybytes(), n, words) for text in batch.column(1)]
+            sets, kept = [], []
+            for i, (text, *given) in enumerate(zip(batch.column(1), *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                hashes = shingle_set(text.as_buffer().to_pybytes(), n, words)
+                if [len(hashes), *_fingerprints(hashes)] == given:
+                    sets.append(hashes)
+                    kept.append(i)
+            if not kept:
+                continue
             sizes = [len(s) for s in sets]
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(np.concatenate(sets))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), lists], names=["id", "n", "bitmap", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(sizes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), lists], names=["id", "n", "bitmap", "hashes"])
 
     return docs.mapInArrow(run, "id long, n long, bitmap binary, hashes array<long>")
 
@@ -331,23 +345,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     ``n``-word shingles (``threshold`` = num, den); component_id is the smallest doc_id that links
     reach.  The threshold is over a half.  Texts without words (null, empty, blank) have an empty set and link with nothing: their
     component_id is their own doc_id.  Texts with fewer words than ``n`` have one shingle.  Rows
-    with a null doc_id count in no group: component_id is null.  Rows that repeat a doc_id must
-    repeat its text; both are returned.  Other columns are ignored; no rows give no rows.
+    with a null doc_id count in no group: component_id is null.  Rows that repeat a doc_id are all
+    returned, each with its own text's set and component; they link by their texts only.  Other columns are ignored; no rows give no rows.
     """
     num, den = threshold
-    read = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().cast("binary").alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().cast("binary").alias("text")).withColumn("digest", F.xxhash64("text"))
     signs = materialise(_signatures(read, n, num, den), "signatures")
     same = ["n", "f1", "f2"]
-    firsts = materialise(signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep")), "firsts")
-    members = signs.select("id", *same).join(firsts, same, "left").select("id", "n", "rep")
-    alone = signs.where(F.size("keys") > 0).join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
+    # A set is a node of its own number, whatever doc_ids its texts have; of its rows, the least stands for it.
+    least = signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("row"))
+    firsts = materialise(least.select(*same, "row.id", "row.digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
+    members = signs.select("id", *same).join(firsts.select(*same, "node", F.col("id").alias("least")), same, "left").select("id", "n", "node", "least")
+    alone = signs.where(F.size("keys") > 0).join(firsts, ["id", "digest", *same]).select(F.col("node").alias("id"), "n", "keys")
 
     in_tile = Window.partitionBy("key").orderBy("id")
     rows = alone.select(F.explode("keys").alias("key"), "id", "n")
     rows = rows.select("key", "id", "n", F.lag("id").over(in_tile).alias("before"), F.lead("id").over(in_tile).alias("after"))
     tiles = materialise(rows.where("before is not null or after is not null").select("key", "id", "n", "before"), "tiles")
-    ids = tiles.select("id").distinct()
-    sets = materialise(_sets(read.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]), "sets")
+    wanted = firsts.join(tiles.select(F.col("id").alias("node")).distinct(), "node")
+    texts = read.join(wanted, ["id", "digest"]).select(F.col("node").alias("id"), "text", *same)
+    sets = materialise(_sets(texts, n).dropDuplicates(["id"]), "sets")
 
     # First each set and the neighbour before it that it shares most tiles with; then pairs that are
     # a tile by themselves, where these did not connect them.
@@ -377,8 +394,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
             allowance *= 8
         elif 2 * linked.count() < tried.count():
             allowance = FIRST_ALLOWANCE
-    joined = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "id"))
+    named = groups.withColumnRenamed("id", "node")
+    tops = named.join(firsts.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("top"))
+    joined = members.join(named.join(tops, "component").select("node", "top"), "node", "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "least", "id"))
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 

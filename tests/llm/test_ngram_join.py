@@ -90,3 +90,17 @@ def test_linking_sets_share_a_tile():
             common = len(np.intersect1d(a, b))
             if len(b) and common < max(len(a), len(b)) and den * common >= num * (len(a) + len(b) - common):
                 assert set(ngram_join.tile_keys(a, num, den).tolist()) & set(ngram_join.tile_keys(b, num, den).tolist())
+
+
+def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    rows = []
+    for doc, name in ((1, "a"), (2, "b"), (3, "c")):
+        rows += [(9, " ".join(words(name))), (doc, " ".join([*words(name)[:-1], "end"]))]
+    rows += [(9, rows[0][1]), (9, "alone in the world"), (None, rows[0][1])]
+    expected = sorted([(9, 58, 1), (9, 58, 1), (9, 58, 2), (9, 58, 3), (9, 2, 9), (1, 58, 1), (2, 58, 2), (3, 58, 3)])
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, (90, 100)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None) == expected
+        assert [(r.n_shingles, r.component_id) for r in out if r.doc_id is None] == [(58, None)]
