@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a worker's cache holds at most, in bytes.
+CACHE_BYTES = 16_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, one of its own is set if driver and executors are one process, as in tests;
+    on a cluster that is an error, as no executor sees another machine's folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,12 +37,65 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs its running tasks only, and no later action
-    evaluates the plan of ``df`` again.
+    evaluates the plan of ``df`` again.  Shuffle files of the plan go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_REMOVE_SHUFFLES) if before is None else spark.conf.set(_REMOVE_SHUFFLES, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written_to = path
+    return read
+
+
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` wrote and that no plan will read again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system at its end: workers outlive their tasks."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
+class BoundedWords(dict):
+    """Values of words, computed once each; emptied when words and values take ``most`` bytes."""
+
+    def __init__(self, most: int = CACHE_BYTES) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def value(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        found = self.value(word)
+        size = sys.getsizeof(word) + sys.getsizeof(found) + 104  # an entry of a dict that may be half empty
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[word] = found
+        return found
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -6,14 +6,18 @@
    at least; a *tile* is a band, a part and what a set has in that part.  A set enters its own
    band's tiles, and the band's below if a set there can be large enough.  A set with too few
    non-empty parts also enters its band's tile for such sets.  So every link lies in some tile.
-3. Neighbours in a tile are compared first.  Bitmap signatures bound the intersection from above;
-   pairs that may still link have their sorted arrays intersected.
-4. What is connected already needs no more comparisons.  Tiles that still hold several components
+3. A set with e non-empty parts that may differ from a partner in D of them shares e - D tiles with
+   it, so it may leave its e - D - 1 most frequent tiles: of the tiles that two linking sets share,
+   neither leaves the least frequent.  Tiles of common passages empty that way, at no loss.
+4. Each set is first compared with the least set of the tile that it shares most with.  Bitmap
+   signatures (a bit is the parity of the set's hashes in its place) bound the intersection from
+   above: a bit that differs stands for a shingle of one set alone.  Pairs that may still link have
+   their sorted arrays intersected.
+5. What is connected already needs no more comparisons.  Tiles that still hold several components
    are compared across these, again by bitmaps and then exactly.  First rounds take as few pairs
    of a tile as would connect all that bitmaps leave open; when most of these no longer link,
-   rounds with a growing allowance follow until no pair is left over.  Two sets that share several
-   tiles are compared in one of them.  So a group of thousands of near copies costs a few spanning
-   trees of comparisons, not its square.
+   rounds with a growing allowance follow until no pair is left over.  So a group of thousands of
+   near copies costs a few spanning trees of comparisons, not its square.
 """
 
 from __future__ import annotations
@@ -27,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import byte_blocks, materialise, text_or_empty
+from docloom.llm.common import BoundedWords, byte_blocks, discard, materialise, text_or_empty, tidy
 from docloom.llm.components import connected_components
 
 #: Bits of a signature for each shingle, and bytes of the largest signature.
-BITS_EACH, MOST_BYTES = 8, 2_048
-CACHED_WORDS = 400_000
+BITS_EACH, MOST_BYTES = 2, 2_048
 #: Rows of a tile that are held at once while components are compared.
 BLOCK = 4_096
 FIRST_ALLOWANCE = 8
@@ -47,14 +50,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of words; bounded."""
+class _Words(BoundedWords):
+    """Hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def shingle_set(text: bytes, n: int, words: dict) -> np.ndarray:
@@ -83,12 +83,16 @@ def _parts(band: int, num: int, den: int) -> int:
     return (108 * (((2 << band) - 1) * (den - num) // num + 1) + 99) // 100 + 6
 
 
-def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the tiles of a set; a set that can link with none but its equals has none."""
-    n = len(hashes)
+def tile_keys(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the tiles of a set, and how many of the even and of the odd ones it may leave.
+
+    A key has 48 bits, the lowest is that of the band's number.  A set that can link with none but
+    its equals has no keys.
+    """
+    n, spare = len(hashes), [0, 0]
     if n * den < num * (n + 1):  # not even a superset with one more shingle would link
-        return np.empty(0, np.uint64)
-    own = n.bit_length() - 1
+        return np.empty(0, np.uint64), spare
+    own, differ = n.bit_length() - 1, n * (den - num) // num
     high, mixed = hashes >> np.uint64(32), np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
     keys = []
     for band in (own, own - 1):
@@ -98,33 +102,38 @@ def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         ends = np.append(starts[1:], n)
         held = mixed[ends] - mixed[starts]
-        tile = _mixed(held + _mixed(part[starts] * np.uint64(64) + np.uint64(band)) + (ends - starts).astype(np.uint64))
+        tile = np.unique(_key(_mixed(held + _mixed(part[starts] * np.uint64(64) + np.uint64(band)) + (ends - starts).astype(np.uint64)), band))
+        if len(tile) > differ:
+            spare[band & 1] = len(tile) - differ - 1
+        else:
+            tile = np.unique(np.append(tile, _key(_mixed(np.array([(1 << 40) + band], np.uint64)), band)))
         keys.append(tile)
-        if len(starts) < n * (den - num) // num + 1:
-            keys.append(_mixed(np.array([(1 << 40) + band], np.uint64)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    return np.concatenate(keys), spare
+
+
+def _key(mixed: np.ndarray, band: int) -> np.ndarray:
+    return (mixed >> np.uint64(17) << np.uint64(1)) | np.uint64(band & 1)
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """The signature of a set: hash bits modulo a power of two that grows with the set, so that a
-    longer one can be folded to a shorter one's length."""
+    """The signature of a set: parities of its hashes modulo a power of two that grows with the set, so
+    that a longer one can be folded to a shorter one's length."""
     size = min(8 * MOST_BYTES, max(64, 1 << (BITS_EACH * len(hashes)).bit_length()))
-    flags = np.zeros(size, bool)
-    flags[(hashes & np.uint64(size - 1)).astype(np.intp)] = True
-    return np.packbits(flags).tobytes()
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.intp), minlength=size)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
 def folded(signature: np.ndarray, size: int) -> np.ndarray:
     """A signature of bytes as one of ``size`` bytes."""
-    return np.bitwise_or.reduce(signature.reshape(-1, size), 0)
+    return np.bitwise_xor.reduce(signature.reshape(-1, size), 0)
 
 
 def may_link(n: int | np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether sets of sizes ``n`` and ``m`` may link, and the most that they can share.
 
-    A bit that one signature alone has stands for a shingle of that set alone, at least.
+    A bit that differs stands for a shingle that one of the sets alone has, at least.
     """
-    most = np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    most = np.minimum(np.minimum(n, m), (n + m - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2)
     return den * most >= num * (n + m - most), most
 
 
@@ -141,26 +150,25 @@ def _fingerprints(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, digest, n, f1, f2, keys) of each document (id, text, digest): size and fingerprints of its
-    set, and its tiles."""
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(id, digest, n, f1, f2, even, odd, keys) of each document (id, text, digest): size and fingerprints
+    of its set, how many even and odd tiles it may leave, and its tiles."""
+    names = ["id", "digest", "n", "f1", "f2", "even", "odd", "keys"]
+    schema = pa.schema([*((c, pa.int64()) for c in names[:-1]), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in byte_blocks(batches, 1, 4_000_000):
-            sizes, f1, f2, keys = [], [], [], []
+            rows, keys = [], []
             for text in batch.column(1):
                 hashes = shingle_set(text.as_buffer().to_pybytes(), n, words)
-                sizes.append(len(hashes))
-                first, second = _fingerprints(hashes)
-                f1.append(first)
-                f2.append(second)
-                keys.append(_signed(tile_keys(hashes, num, den)))
+                tiles, spare = tile_keys(hashes, num, den)
+                rows.append((len(hashes), *_fingerprints(hashes), *spare))
+                keys.append(_signed(tiles))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), lists], schema=schema)
 
-    return docs.mapInArrow(run, "id long, digest long, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names[:-1]) + ", keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -183,7 +191,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(np.concatenate(sets))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(sizes, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), lists], names=["id", "n", "bitmap", "hashes"])
 
-    return docs.mapInArrow(run, "id long, n long, bitmap binary, hashes array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, bitmap binary, hashes array<long>")
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -206,7 +214,7 @@ def _open_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bitmap").alias(f"bitmap_{end}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return both.where((den * F.least("n_a", "n_b")) >= num * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
+    return both.where((den * F.least("n_a", "n_b")) >= num * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,29 +238,23 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("s")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
     """(a, b, more): pairs of a tile's components that bitmaps leave open.
 
-    ``tiles``: (tile, key, side, id, n, component, bitmap, keys); a tile's rows in ``side`` 0 are
-    compared with each other, or, where there is a side 1, with those.  Of the tiles that two rows
-    share, that of the least key gives the pair.  For a row and a component of the others, the
-    likeliest ``allowance`` pairs are given; ``more`` says that there were more.  An allowance of 0
-    gives a spanning forest of a tile's components over its open pairs.
+    ``tiles``: (tile, side, id, n, component, bitmap); a tile's rows in ``side`` 0 are compared
+    with each other, or, where there is a side 1, with those.  For a row and a component of the
+    others, the likeliest ``allowance`` pairs are given; ``more`` says that there were more.  An
+    allowance of 0 gives a spanning forest of a tile's components over its open pairs.
     """
 
     def compare(table: pa.Table) -> tuple[list[int], list[int], list[bool]]:
         side, ids, sizes, comps = (table.column(c).to_numpy() for c in ("side", "id", "n", "component"))
-        key = table.column("key")[0].as_py()
         raw = [_bytes(x) for x in table.column("bitmap")]
         width = min(map(len, raw))
         words = np.stack([folded(x, width) for x in raw]).view(np.uint64)
-        lists = [x.values.to_numpy() for x in table.column("keys")]
-        shared = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-        for i, own in enumerate(lists):
-            shared[i, : len(own)] = own
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(side)), None)
         out: tuple[list[int], list[int], list[bool]] = ([], [], [])
         comps = comps.copy()  # a forest's pairs join components
@@ -263,13 +265,6 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
                 continue
             fits, most = may_link(sizes[i], sizes[others], words[i], words[others], num, den)
             others, most = others[fits], most[fits]
-            if not len(others):
-                continue
-            own, theirs = lists[i], shared[others]
-            place = np.searchsorted(own, theirs)
-            common = own[np.minimum(place, len(own) - 1)] == theirs
-            here = theirs[np.arange(len(others)), common.argmax(1)] == key
-            others, most = others[here], most[here]
             if not len(others):
                 continue
             order = np.lexsort((-most / (sizes[i] + sizes[others] - most), comps[others]))
@@ -305,17 +300,16 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
                 held.append(batch.slice(s, e - s))
         yield from finish()
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, more boolean")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(run), "a long, b long, more boolean")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Tiles of up to BLOCK rows as they are; of larger ones a tile for each two blocks of rows."""
-    place = Window.partitionBy("key").orderBy("n", "id")
-    numbered = members.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
-    last = numbered.groupBy("key").agg(F.max("block").alias("last"))
-    dealt = numbered.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    """Tiles of about BLOCK rows at most as they are; of larger ones a tile for each two blocks of rows."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), "key", F.when((low == high) | (F.col("block") == low), 0).otherwise(1).cast("long").alias("side"), "id", "n", "component")
+    return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), F.when((low == high) | (F.col("block") == low), 0).otherwise(1).cast("long").alias("side"), "id", "n", "component")
 
 
 def _ends(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -355,50 +349,71 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     # A set is a node of its own number, whatever doc_ids its texts have; of its rows, the least stands for it.
     least = signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("row"))
     firsts = materialise(least.select(*same, "row.id", "row.digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
+    tiles = _tiles(signs, firsts, same)
+
+    wanted = firsts.join(tiles.select(F.explode(F.array("id", "pivot")).alias("node")).distinct(), "node")
+    texts = read.join(wanted.select("id", "digest", "node", *same), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    sets = materialise(_sets(texts.select(F.col("node").alias("id"), "text", *same), n), "sets")
+    groups = _components(tiles, sets, num, den)
+    discard(tiles, sets)
+
     members = signs.select("id", *same).join(firsts.select(*same, "node", F.col("id").alias("least")), same, "left").select("id", "n", "node", "least")
-    alone = signs.where(F.size("keys") > 0).join(firsts, ["id", "digest", *same]).select(F.col("node").alias("id"), "n", "keys")
-
-    in_tile = Window.partitionBy("key").orderBy("id")
-    rows = alone.select(F.explode("keys").alias("key"), "id", "n")
-    rows = rows.select("key", "id", "n", F.lag("id").over(in_tile).alias("before"), F.lead("id").over(in_tile).alias("after"))
-    tiles = materialise(rows.where("before is not null or after is not null").select("key", "id", "n", "before"), "tiles")
-    wanted = firsts.join(tiles.select(F.col("id").alias("node")).distinct(), "node")
-    texts = read.join(wanted, ["id", "digest"]).select(F.col("node").alias("id"), "text", *same)
-    sets = materialise(_sets(texts, n).dropDuplicates(["id"]), "sets")
-
-    # First each set and the neighbour before it that it shares most tiles with; then pairs that are
-    # a tile by themselves, where these did not connect them.
-    large = materialise(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2").select("key"), "large")
-    pairs = tiles.where("before < id").join(large.withColumn("large", F.lit(1)), "key", "left")
-    chain = materialise(pairs.groupBy(F.col("before").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("large").isNull()).alias("alone")), "chain")
-    nearest = chain.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    groups = connected_components(_linked(_open_pairs(nearest, sets, num, den), sets, num, den))
-    groups = _joined(groups, _linked(_open_pairs(_apart(chain.where("alone"), groups), sets, num, den), sets, num, den))
-    spread = tiles.join(large, "key", "left_semi").select("key", "id", "n").distinct()
+    named = groups.withColumnRenamed("id", "node")
+    tops = named.join(firsts.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("top"))
+    joined = members.join(named.join(tops, "component").select("node", "top"), "node", "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "least", "id"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _tiles(signs: DataFrame, firsts: DataFrame, same: list[str]) -> DataFrame:
+    """(key, id, n, pivot, rows) of each set's tiles that other sets share, but for the most frequent
+    that it may leave; ``pivot`` and ``rows`` are the least set and the number of sets with that key."""
+    keyed = signs.where(F.size("keys") > 0).select("id", "digest", *same, "even", "odd", "keys")
+    # Of rows that repeat a text, one brings the keys.
+    alone = materialise(keyed.join(firsts, ["id", "digest", *same]).select("node", "n", "even", "odd", "keys").dropDuplicates(["node"]), "keyed")
+    rows = alone.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("pivot")).where("rows > 1")
+    both = rows.join(shared, "key").join(alone.select(F.col("node").alias("id"), "n", "even", "odd"), "id")
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    hottest = Window.partitionBy("id", odd).orderBy(F.desc("rows"), "key")
+    left = both.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > F.when(odd == 1, F.col("odd")).otherwise(F.col("even")))
+    tiles = materialise(left.select("key", "id", "n", "pivot", "rows"), "tiles")
+    discard(alone)
+    return tiles
+
+
+def _components(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component) of the sets that link."""
+    # Written in between, as two Python steps in one task would take two workers.
+    linked = lambda pairs: _linked(materialise(_open_pairs(pairs, sets, num, den), "open"), sets, num, den)
+    # First each set and the pivot that it shares most tiles with; then pairs that are a tile by
+    # themselves, where these did not connect them.
+    pairs = tiles.where("pivot <> id").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    star = materialise(pairs.agg(F.count(F.lit(1)).alias("shared"), F.min("rows").alias("least")), "star")
+    nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    groups = connected_components(linked(nearest))
+    groups = _joined(groups, linked(_apart(star.where("least = 2"), groups)))
+    spread = tiles.where("rows > 2").select("key", "id", "n")
     allowance = 0
     while True:
         labelled = spread.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = materialise(labelled.join(mixed, "key", "left_semi"), "left")
-        keys = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        rows = _blocks(left).join(sets.select("id", "bitmap"), "id").join(keys, "id").select("tile", "key", "side", "id", "n", "component", "bitmap", "keys")
+        left = materialise(labelled.join(mixed, "key", "left_semi").select("key", "id", "n", "component"), "left")
+        rows = _blocks(left).join(sets.select("id", "bitmap"), "id").select("tile", "side", "id", "n", "component", "bitmap")
         found = materialise(_across(rows, allowance, num, den), "across")
+        discard(left)
         if found.isEmpty():
-            break
+            return groups
         tried = found.select("a", "b").distinct()
-        linked = materialise(_linked(tried, sets, num, den), "linked")
-        groups = _joined(groups, linked)
+        links = materialise(_linked(tried, sets, num, den), "linked")
+        groups = _joined(groups, links)
         if allowance:
             if found.where("more").isEmpty():
-                break
+                return groups
             allowance *= 8
-        elif 2 * linked.count() < tried.count():
+        elif 2 * links.count() < tried.count():
             allowance = FIRST_ALLOWANCE
-    named = groups.withColumnRenamed("id", "node")
-    tops = named.join(firsts.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("top"))
-    joined = members.join(named.join(tops, "component").select("node", "top"), "node", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "least", "id"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        discard(found, links)
 
 
 def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_linking_sets_share_a_tile():
             b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64))))
             common = len(np.intersect1d(a, b))
             if len(b) and common < max(len(a), len(b)) and den * common >= num * (len(a) + len(b) - common):
-                assert set(ngram_join.tile_keys(a, num, den).tolist()) & set(ngram_join.tile_keys(b, num, den).tolist())
+                assert set(ngram_join.tile_keys(a, num, den)[0].tolist()) & set(ngram_join.tile_keys(b, num, den)[0].tolist())
 
 
 def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
