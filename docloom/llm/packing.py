@@ -1,10 +1,15 @@
 """Best-fit packing of token sequences with hierarchical merging of residual bins.
 
 Partitions pack their own pieces, longest first, each into the fullest bin that still takes it.
-Nearly full bins are done.  Bins with room left go up a tree, a fixed number of nodes to each
-parent, and are items for another best-fit round there: whole bins are put into the room of
-others.  After a round a node has one bin of at most half the size, and two larger ones never fit
-together; so the emptiest bins are all that can still gain, and a node hands on a bounded number.
+Nearly full bins are done.  Underfull ones go up a tree, a fixed number of nodes to each parent, and
+are items for another best-fit round there: whole bins are put into the room of others.
+
+How many bins are underfull is no choice.  A bin was opened because no other had room for its first
+item, so two bins of a node never fit together, and a node has one bin of at most half the size.
+Such bins alone can move.  In a round of a parent, each of its children's one bin of that kind needs
+one bin that takes it in, FAN_IN at most, and whatever fits a fuller bin fits an emptier one.  So
+with no more than LEVELS rounds to come, the FAN_IN * LEVELS emptiest bins and one more are all that
+these rounds can touch: to hand on every bin would save no further sequence.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -19,81 +25,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_blocks, materialise, text_or_empty
+from docloom.llm.common import byte_blocks, materialise, text_or_empty, tidy
 
 SEQUENCE = 2_048
 #: Pieces that are packed at once, so that a task's memory is bounded.
 BLOCK = 200_000
-#: Nodes that one parent takes bins from, and bins that a node hands on at most.
-FAN_IN = 16
-HANDED_ON = 2_000
+#: Nodes that one parent takes bins from, and rounds that a tree has at most (16 ** 10 first nodes).
+FAN_IN, LEVELS = 16, 10
 END = 0
-CACHED_PIECES = 200_000
 
 
 class ByteBpe:
-    """Token ids of the byte-level BPE vocabulary, by stretches between single spaces.
+    """Token ids of a byte-level BPE vocabulary, as its file gives them.
 
-    The pattern that splits text before merges never spans a single space between two other
-    characters, so such stretches encode independently and repeat often.  Stretches that are new
-    are encoded together.
+    The file is read for its table and its one special token; the pattern that splits text before
+    merges is given.  A special token's string in a text is that token.
     """
 
-    SPECIAL = "<|endoftext|>"
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, special: int) -> None:
-        import re
+    def __init__(self, path: str, pattern: str) -> None:
+        import json
 
         import tiktoken
 
-        self._encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={self.SPECIAL: special})
-        self._widths = np.zeros(max(special, max(ranks.values())) + 1, np.int64)
-        for token, rank in ranks.items():
-            self._widths[rank] = len(token)
-        self._uneven = re.compile(r"\s | \s|^ | $")
-        self._known: dict[str, bytes] = {}
-
-    @staticmethod
-    def load(path: str, pattern: str, special: int) -> ByteBpe:
-        import base64
-
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        return ByteBpe(ranks, pattern, special)
-
-    def _learn(self, stretches: set[str]) -> None:
-        """Encodes stretches that begin with a space in one call and cuts the ids at their ends."""
-        new = sorted(stretches)
-        ids = np.array(self._encoding.encode_ordinary("".join(new)), np.uint32)
-        ends = np.cumsum(self._widths[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(s.encode()) for s in new])) + 1
-        raw, start = ids.astype("<u4").tobytes(), 0
-        for stretch, cut in zip(new, cuts.tolist(), strict=True):
-            self._known[stretch] = raw[4 * start : 4 * cut]
-            start = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; the special token's string is that token."""
-        if len(self._known) > CACHED_PIECES:
-            self._known = {}
-        known = self._known
-        known[""] = b""
-        split: list[list[str] | bytes] = []
-        for text in texts:
-            if self.SPECIAL in text or self._uneven.search(text):
-                split.append(np.array(self._encoding.encode(text, allowed_special="all"), "<u4").tobytes())
-                continue
-            head, *rest = text.split(" ")
-            if head not in known:
-                known[head] = np.array(self._encoding.encode_ordinary(head), "<u4").tobytes()
-            split.append([head, *[" " + word for word in rest]])
-        new = {word for words in split if isinstance(words, list) for word in words if word not in known}
-        if new:
-            self._learn(new)
-        return [words if isinstance(words, bytes) else b"".join(map(known.__getitem__, words)) for words in split]
-
-
-def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, special: int, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        special = {t["content"]: t["id"] for t in held["added_tokens"]}
+        ranks = {bytes(map(_BYTE_OF.__getitem__, piece)): i for piece, i in held["model"]["vocab"].items() if piece not in special}
+        self._encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return self._encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """Byte-level files write a byte as its Latin-1 character, those that don't print from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+_BYTE_OF = _bytes_of_letters()
+
+
+@lru_cache(maxsize=1)
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """The vocabulary, read once by a worker."""
+    return ByteBpe(path, pattern)
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of the token pieces of ``docs`` (doc_id, text).
 
     A document is its text's ids and the end id 0; null text counts as empty.  Longer ones than
@@ -101,25 +82,27 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, special: int, s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.load(vocabulary, pattern, special)
+        bpe = byte_bpe(vocabulary, pattern)
         end = np.array([END], "<u4").tobytes()
         for batch in byte_blocks(batches, 1, 4_000_000):
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = bpe.encode(text.as_py()) + end
                 n = len(ids) // 4
                 cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = ids[4 * a : 4 * b]
-                    for column, value in zip(rows, (doc, k, a, b - a, zlib.crc32(part), part), strict=True):
+                    for column, value in zip(rows, (doc, k, a, b - a, zlib.crc32(part)), strict=False):
                         column.append(value)
+                    if with_ids:
+                        rows[5].append(part)
             arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:5])]
             if with_ids:
                 arrays.append(pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in rows[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return read.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,13 +160,13 @@ def _first_round(items: DataFrame, size: int) -> DataFrame:
         if held:
             yield packed()
 
-    return items.mapInArrow(run, _BINS)
+    return items.mapInArrow(tidy(run), _BINS)
 
 
 def _marked(item: np.ndarray, length: np.ndarray, place: np.ndarray, offset: np.ndarray, fills: np.ndarray, base: int, size: int) -> pa.RecordBatch:
-    """Rows with their bins; open are the emptiest bins, HANDED_ON of them at most, that have room."""
+    """Rows with their bins; open are the emptiest bins that further rounds can touch."""
     open_bin = np.zeros(len(fills), bool)
-    open_bin[np.argsort(fills, kind="stable")[:HANDED_ON]] = True
+    open_bin[np.argsort(fills, kind="stable")[: FAN_IN * LEVELS + 1]] = True
     open_bin &= fills < size
     arrays = [pa.array(item), pa.array(length), pa.array(base + place), pa.array(offset), pa.array(fills[place]), pa.array(open_bin[place])]
     return pa.RecordBatch.from_arrays(arrays, names=["item", "length", "bin", "offset", "fill", "open"])
@@ -223,7 +206,7 @@ def pack(items: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return done.select("item", F.col("bin").alias("sequence_id"), "offset")
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, pattern: str, special: int, size: int = SEQUENCE, **options: Any) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, pattern: str, size: int = SEQUENCE, **options: Any) -> DataFrame:
     """One row for each piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
@@ -231,6 +214,6 @@ def packed_documents(docs: DataFrame, vocabulary: str, pattern: str, special: in
     or fewer are one piece.  Rows that repeat a document are packed each; a null doc_id is kept.
     Other columns are ignored; no rows give no rows.
     """
-    pieces = token_pieces(docs, vocabulary, pattern, special, size, **options)
+    pieces = token_pieces(docs, vocabulary, pattern, size, **options)
     numbered = materialise(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     return numbered.join(pack(numbered.select("item", "length"), size), "item").drop("item")

@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> tuple[str, str, int]:
-    """Path, pattern and special id of the byte-level BPE vocabulary that packing uses."""
+def vocabulary() -> tuple[str, str]:
+    """Path and pattern of the byte-level BPE vocabulary that packing uses."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_256
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ def test_ids_equal_the_tokenizer(tokenizer):
     rng = random.Random(2)
     texts = ["".join(rng.choices(["the", " ", "  ", "\n", "Zürich", "it's", "1234", "!?", "<|endoftext|>", "\t", "京都", "_x", " a", "\xa0", "é"], k=30)) for _ in range(400)]
     texts += ["", " ", "a", " a", "a ", "a\n b", "a \nb", *(t or "" for _, t in corpus())]
-    bpe = packing.ByteBpe.load(*vocabulary())
-    for k in range(0, len(texts), 50):
-        for text, raw in zip(texts[k : k + 50], bpe.encode(texts[k : k + 50]), strict=True):
-            assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts += ["".join(rng.choices([chr(c) for c in (*range(0x250), 0x2028, 0x300, 0x4EAC, 0x1F642, 0xFFFD)], k=20)) for _ in range(400)]
+    bpe = packing.ByteBpe(*vocabulary())
+    for text in texts:
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def check(rows, out, tokenizer, size):
@@ -57,7 +57,6 @@ def test_packing_is_whole_and_tight(spark, tokenizer, size):
 
 def test_tree_with_many_nodes(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
-    monkeypatch.setattr(packing, "HANDED_ON", 3)
     rng = random.Random(1)
     rows = [(i, rng.choice([1, 5, 30, 51, 60, 99, 100])) for i in range(500)]
     out = packing.pack(spark.createDataFrame(rows, "item long, length int").repartition(9), 100).collect()
@@ -70,6 +69,18 @@ def test_tree_with_many_nodes(spark, monkeypatch):
         assert sum(n for _, n in parts) <= 100
 
 
+@pytest.mark.parametrize("lengths", [list(range(1_100, 2_041)), [100, 2_000, 1_000, 1_030, 700], list(range(1, 2_049, 3))])
+def test_bins_that_are_not_handed_on_would_save_nothing(spark, monkeypatch, lengths):
+    """A tree that hands on every bin ends with as many sequences."""
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, rng.choice(lengths)) for i in range(3_000)], "item long, length int").repartition(12)
+    used = lambda: packing.pack(items).select("sequence_id").distinct().count()
+    monkeypatch.setattr(packing, "FAN_IN", 3)
+    few = used()
+    monkeypatch.setattr(packing, "LEVELS", 10_000)
+    assert few == used()
+
+
 def test_edges(spark):
     assert packing.packed_documents(spark.createDataFrame([], DOCS), *vocabulary()).collect() == []
     out = packing.packed_documents(spark.createDataFrame([(1, None), (1, None), (None, "")], DOCS), *vocabulary()).collect()
