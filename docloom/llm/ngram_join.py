@@ -38,7 +38,7 @@ from docloom.llm.components import connected_components
 BITS_EACH, MOST_BYTES = 2, 2_048
 #: Rows of a tile that are held at once while components are compared.
 BLOCK = 4_096
-FIRST_ALLOWANCE = 8
+FIRST_ALLOWANCE = 32
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -406,12 +406,14 @@ def _components(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
             return groups
         tried = found.select("a", "b").distinct()
         links = materialise(_linked(tried, sets, num, den), "linked")
-        groups = _joined(groups, links)
+        joined = links.count()
+        if joined:
+            groups = _joined(groups, links)
         if allowance:
             if found.where("more").isEmpty():
                 return groups
             allowance *= 8
-        elif 2 * links.count() < tried.count():
+        elif 2 * joined < tried.count():
             allowance = FIRST_ALLOWANCE
         discard(found, links)
 
