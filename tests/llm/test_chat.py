@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import chat
+from docloom.llm import chat, packing
 from docloom.llm.registry import vocabulary
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -27,6 +27,14 @@ def talks():
     return rows
 
 
+def size_of(role, text):
+    """Tokens of a turn whose text holds no control string but such as are escaped."""
+    text = text.replace("\\", "\\\\")
+    for control in sorted(chat.CONTROL, key=len, reverse=True):
+        text = text.replace(control, control[0] + "\\" + control[1:])
+    return len(packing.ByteBpe(*vocabulary()).encode(f"{chat.START}{role}\n{text}{chat.END}\n")) // 4
+
+
 def brute(rows):
     out = {}
     for conv in {r[0] for r in rows}:
@@ -49,7 +57,7 @@ def test_read_back(spark, budget):
         assert len(turns) == w.n_turns and w.n_repeated < w.n_turns
         assert w.oversize == (w.tokens > budget.window)
         first = min((r for r in rows if r[0] == w.conv_id), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or ""))
-        if first[2] == "system":
+        if first[2] == "system" and size_of("system", first[3] or "") <= budget.largest_system:
             assert turns[0] == ("system", first[3] or "")
         if w.oversize:
             assert w.n_turns - w.n_repeated <= 2
@@ -63,6 +71,41 @@ def test_windows_keep_to_the_budget(spark):
     assert all(w.n_repeated >= 1 for w in windows[1:]) and any(w.n_repeated > 1 for w in windows)
 
 
+def test_windows_are_filled(spark):
+    rng = random.Random(6)
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", "some words to say " * rng.randint(1, 60)) for c in range(3) for i in range(300)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, TURNS), vocabulary()).collect()
+    last = {r.conv_id: max(w.start for w in windows if w.conv_id == r.conv_id) for r in windows}
+    full = [w.tokens for w in windows if w.start != last[w.conv_id]]
+    assert sum(full) / len(full) > 0.85 * 2_048 and max(full) <= 2_048
+
+
+def test_a_long_system_turn_does_not_multiply(spark):
+    rows = [(1, 0, "system", "rule " * 20_000)] + [(1, i, "user" if i % 2 else "assistant", "some words to say " * 40) for i in range(1, 41)]
+    windows = sorted(chat.chat_windows(spark.createDataFrame(rows, TURNS), vocabulary()).collect(), key=lambda w: w.start)
+    assert [w.oversize for w in windows] == [True] + [False] * (len(windows) - 1)
+    assert windows[0].n_turns == 1 and sum(w.tokens for w in windows) < 1.5 * sum(size_of(r, t) for _, _, r, t in rows)
+
+
+def test_chunks_of_a_long_conversation(spark, monkeypatch):
+    """Every turn is new in one window, in order, whatever chunks cut the conversation."""
+    rng = random.Random(2)
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant", f"turn {i} " + "word " * rng.choice([0, 3, 20, 20, 90])) for i in range(1, 500)]
+    monkeypatch.setattr(chat, "CHUNK_WINDOWS", 2)
+    monkeypatch.setattr(chat, "TURN_BLOCK", 7)
+    windows = sorted(chat.chat_windows(spark.createDataFrame(rows, TURNS), vocabulary(), chat.Budget(200, 50)).collect(), key=lambda w: w.start)
+    fresh = []
+    for w in windows:
+        turns = chat.read_turns(w.text)
+        assert turns[0] == ("system", "be kind") and w.tokens <= 200
+        history = turns[1 : w.n_repeated] if fresh else []
+        assert [t for _, t in history] == (fresh[-len(history) :] if history else [])
+        fresh += [t for _, t in turns[(1 if not fresh else w.n_repeated) :]]
+        said = [chat.unescaped(w.text[s.start : s.end]) for s in w.loss]
+        assert said == [t for r, t in turns[w.n_repeated :] if r == "assistant"]
+    assert fresh == [t for _, _, _, t in rows[1:]]
+
+
 def test_empty_table(spark):
     windows = chat.chat_windows(spark.createDataFrame([], TURNS), vocabulary())
     assert chat.conversation_digests(windows).collect() == []
