@@ -1,20 +1,23 @@
-"""SentencePiece encoding and decoding with forward states shared between common prefixes.
+"""SentencePiece encoding and decoding by Viterbi with forward scores shared between common prefixes.
 
 Text is cut into marked words (a ``▁`` and what follows up to the next).  The distinct words of a
-block are sorted, which is the depth-first order of their trie; the forward states of the letters
+block are sorted, which is the depth-first order of their trie; the forward scores of the letters
 that a word shares with the one before stay on a stack, only the rest is computed.
 
-A state is what the best segmentation of a prefix ends in.  For models of scored pieces (unigram)
-that is Viterbi: the best sum of scores and the last piece.  For merge models (BPE) sums of scores
-don't give the merges' result; but there, too, each prefix has one right last piece: the one that
-forms, with the last piece of the prefix before it, a pair that merging leaves as it is.  So the
-same traversal works with that condition in place of the maximum.
+A forward score is the best sum of scores of the pieces that a prefix can end in.  For models of
+scored pieces (unigram) that is all.  Merge models (BPE) have the same lattice with one more rule:
+two pieces may follow each other only if merging leaves them as they are (any other step scores
+minus infinity).  One path keeps that rule, and it gives the ids that merging gives; which pairs
+keep it follows from the order of merges alone, without merging anything.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import inf
 from os.path import commonprefix
 
 import numpy as np
@@ -22,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_blocks, text_or_empty
+from docloom.llm.common import CACHE_BYTES, byte_blocks, text_or_empty, tidy
 
 MARK = "▁"
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
-BLOCK_BYTES = 16_000_000
+#: Bytes of text that are encoded together.
+BLOCK_BYTES = 4_000_000
+
+
+_ONE = (1,)
 
 
 class PieceModel:
@@ -44,7 +49,11 @@ class PieceModel:
         self.pieces, self.kind, self.bytes_from, self.unknown = pieces, kind, bytes_from, unknown
         self.ids = {p[0]: i for i, p in enumerate(pieces) if p}
         self.scores = {i: p[1] for i, p in enumerate(pieces) if p}
-        self.longest = max(map(len, self.ids), default=1)
+        # By its last two characters, which lengths a piece can have, the longest first.
+        ends: dict[str, set[int]] = {}
+        for piece in self.ids:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
 
     @staticmethod
@@ -61,8 +70,8 @@ class PieceModel:
         """Ids of a character that has no piece."""
         return [self.unknown] if self.bytes_from is None else [self.bytes_from + b for b in char.encode()]
 
-    def merged(self, text: str) -> list[int]:
-        """Ids by merging: the adjacent pair of the highest score first, of equal ones the leftmost."""
+    def merged(self, text: str) -> list[str]:
+        """``text`` by merging: the adjacent pair of the highest score first, of equal ones the leftmost."""
         symbols = list(text)
         while len(symbols) > 1:
             best, at = None, -1
@@ -73,73 +82,94 @@ class PieceModel:
             if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return [x for s in symbols for x in ([self.ids[s]] if s in self.ids else self.spelled(s))]
+        return symbols
+
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two symbols whose merge ends the merging of a piece's own letters; None if that does not
+        end in the piece, so that no text ever gets it."""
+        symbols = list(piece)
+        while len(symbols) > 2:
+            known = [(self.scores[i], -k) for k in range(len(symbols) - 1) if (i := self.ids.get(symbols[k] + symbols[k + 1])) is not None]
+            if not known:
+                return None
+            k = -max(known)[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        return symbols[0], symbols[1]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, kind: str) -> PrefixEncoder:
+    """The encoder of a model file, made once by a worker."""
+    return PrefixEncoder(PieceModel.load(path, kind))
 
 
 class PrefixEncoder:
-    """Encodes sets of marked words; what it has learnt stays, within bounds."""
+    """Encodes sets of marked words; what it has learnt stays, within CACHE_BYTES."""
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.words: dict[str, bytes] = {}
-        self._whole = {}  # id -> whether merging the piece's characters gives the piece
-        self._pairs: dict[int, bool] = {}
+        self.words: dict[str, tuple[bytes, float]] = {}
+        self._held = 0
         self._runs: dict[int, list[int]] = {}
-
-    def _stable(self, last: int, piece: int) -> bool:
-        """Whether merging leaves two adjacent pieces as they are."""
-        key = last << 32 | piece
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > CACHED_PAIRS:
-                self._pairs.clear()
-            pieces = self.model.pieces
-            known = self._pairs[key] = self.model.merged(pieces[last][0] + pieces[piece][0]) == [last, piece]
-        return known
-
-    def _reached(self, piece: int) -> bool:
-        known = self._whole.get(piece)
-        if known is None:
-            known = self._whole[piece] = self.model.merged(self.model.pieces[piece][0]) == [piece]
-        return known
-
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Ids of each word; words hold marks at their start only."""
-        ids, longest, bpe = self.model.ids, self.model.longest, self.model.kind == "bpe"
-        scores, penalty = self.model.scores, self.model.penalty
-        # By prefix length: the last piece's id (-1: a character without a piece), its length, the score.
-        last, width, score = [-1], [0], [0.0]
-        before, out = "", {}
+        if model.kind == "bpe":
+            # When a symbol comes to be: letters are there from the start, then the better score.
+            self._made = {p: -model.scores[i] for p, i in model.ids.items() if len(p) > 1}
+            self._split = {p: model.last_merge(p) for p in self._made}
+
+    def _stable(self, left: str, right: str) -> bool:
+        """Whether merging leaves two adjacent pieces as they are.
+
+        Merging is undone, the later merge first.  What then stands at the border on both sides
+        must have no merge of its own before the one that was undone, of equal ones the leftmost.
+        """
+        made, split = self._made, self._split
+        limit, tie = inf, False
+        while True:
+            across = made.get(left + right)
+            if across is not None and (across < limit or tie and across == limit):
+                return False
+            x, y = made.get(left, -inf) if len(left) > 1 else -inf, made.get(right, -inf) if len(right) > 1 else -inf
+            if x == y == -inf:
+                return True
+            if x > y:
+                limit, tie, left = x, False, split[left][1]
+            else:  # a merge across is further left, so it comes first if it is as good
+                limit, tie, right = y, True, split[right][0]
+
+    def encode_words(self, words: set[str]) -> Iterator[tuple[str, list[int], float]]:
+        """(word, ids, forward score) of each word; words hold marks at their start only."""
+        ids, lengths, bpe = self.model.ids, self.model.lengths, self.model.kind == "bpe"
+        scores, penalty, stable = self.model.scores, self.model.penalty, self._stable
+        split = self._split if bpe else {}
+        # By prefix length: the best last piece or, without one, character, and the score.
+        last, score, before = [""], [0.0], ""
         for word in sorted(words):
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], width[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best = (-1, 1, score[end - 1] + penalty)
-                found = False
-                for n in range(min(longest, end), 0, -1):
-                    piece = ids.get(word[end - n : end])
-                    if piece is None:
+                best, top = "", score[end - 1] + penalty
+                for n in (*lengths.get(word[max(0, end - 2) : end], ()), *_ONE[end < 2 :]):
+                    if n > end:
+                        continue
+                    piece = word[end - n : end]
+                    i = ids.get(piece)
+                    if i is None:
                         continue
                     if bpe:
-                        previous = last[end - n]
-                        if self._stable(previous, piece) if previous >= 0 else self._reached(piece):
-                            best = (piece, n, 0.0)
-                            break
-                    else:
-                        total = score[end - n] + scores[piece]
-                        if not found or total > best[2]:
-                            best, found = (piece, n, total), True
-                last.append(best[0])
-                width.append(best[1])
-                score.append(best[2])
+                        if (n == 1 or split[piece]) and (n == end or stable(last[end - n], piece)):
+                            best, top = piece, score[end - n] + scores[i]
+                            break  # the one step that the rule admits
+                    elif not best or score[end - n] + scores[i] > top:
+                        best, top = piece, score[end - n] + scores[i]
+                last.append(best or word[end - 1])
+                score.append(top)
             parts, at = [], len(word)
             while at:
-                n = width[at]
-                parts.append([last[at]] if last[at] >= 0 else self.model.spelled(word[at - n : at]))
-                at -= n
-            out[word] = [i for part in reversed(parts) for i in part]
+                piece = last[at]
+                parts.append([ids[piece]] if piece in ids else self.model.spelled(piece))
+                at -= len(piece)
+            yield word, [i for part in reversed(parts) for i in part], score[-1]
             before = word
-        return out
 
     def _run(self, n: int) -> list[int]:
         """Ids of ``n`` marks and nothing else."""
@@ -170,30 +200,32 @@ class PrefixEncoder:
             sizes = merged
         return [x for s in sizes for x in ([self.model.ids[MARK * s]] if MARK * s in self.model.ids else self.model.spelled(MARK) * s)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; a blank and a mark are the same."""
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
+    def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
+        """Little-endian unsigned 32-bit ids of each text and the sum of its marked words' forward scores;
+        a blank and a mark are the same."""
+        if self._held > CACHE_BYTES:
+            self.words, self._held = {}, 0
         words, split = self.words, []
         for text in texts:
             parts = text.replace(" ", MARK).split(MARK) if text else []
             split.append([MARK + p for p in parts])
-        new = {w for parts in split for w in parts if w not in words}
-        for word, ids in self.encode_words(new).items():
-            words[word] = np.array(ids, "<u4").tobytes()
+        for word, ids, score in self.encode_words({w for parts in split for w in parts if w not in words}):
+            words[word] = np.array(ids, "<u4").tobytes(), score
+            self._held += 300 + 4 * (len(word) + len(ids))  # the objects of an entry, roughly
         mark = self.model.ids.get(MARK, -1)
         out = []
         for parts in split:
+            known = [words[p] for p in parts]
+            total = float(sum(s for _, s in known))
             if MARK not in parts:
-                out.append(b"".join(map(words.__getitem__, parts)))
+                out.append((b"".join([raw for raw, _ in known]), total))
                 continue
             # A run of marks before a word: the last one is the word's, as long as it merges with it.
             pieces, run = [], 0
-            for word in parts:
+            for word, (own, _) in zip(parts, known, strict=True):
                 if word == MARK:
                     run += 1
                     continue
-                own = words[word]
                 if run:
                     if int.from_bytes(own[:4], "little") == mark:
                         own, run = own[4:], run + 1
@@ -202,7 +234,7 @@ class PrefixEncoder:
                 pieces.append(own)
             if run:
                 pieces.append(np.array(self._run(run), "<u4").tobytes())
-            out.append(b"".join(pieces))
+            out.append((b"".join(pieces), total))
         return out
 
 
@@ -222,21 +254,29 @@ class PieceDecoder:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
+@lru_cache(maxsize=1)
+def decoder_of(path: str, kind: str) -> PieceDecoder:
+    """The decoder of a model file, made once by a worker."""
+    return PieceDecoder(PieceModel.load(path, kind))
+
+
 def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
-    """(doc_id, ids) of each row of ``docs`` (doc_id, text): whole texts; null and empty have no ids.
+    """(doc_id, ids, score) of each row of ``docs`` (doc_id, text): whole texts; null and empty have no ids.
 
-    Other columns are ignored; repeated rows are repeated; no rows give no rows.
+    score is the sum of the forward scores of a text's marked words.  Other columns are ignored;
+    repeated rows are repeated; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixEncoder(PieceModel.load(model_path, kind))
+        encoder = encoder_of(model_path, kind)
         for batch in byte_blocks(batches, 1, BLOCK_BYTES):
-            found = [np.frombuffer(raw, "<i4") for raw in encoder.encode(batch.column(1).to_pylist())]
-            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))], names=["doc_id", "ids"])
+            raw, scores = zip(*encoder.encode(batch.column(1).to_pylist()), strict=True)
+            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(scores, pa.float64())], names=["doc_id", "ids", "score"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, "doc_id long, ids array<int>")
+    return read.mapInArrow(tidy(run), "doc_id long, ids array<int>, score double")
 
 
 def decode_ids(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
@@ -246,7 +286,7 @@ def decode_ids(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = PieceDecoder(PieceModel.load(model_path, kind))
+        decoder = decoder_of(model_path, kind)
         for batch in batches:
             lists = [np.empty(0, np.int32) if not x.is_valid else x.values.to_numpy() for x in batch.column(1)]
             for start in range(0, len(lists), 1_000):
@@ -256,11 +296,23 @@ def decode_ids(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFr
                     names=["doc_id", "n_ids", "ids_crc32", "text"],
                 )
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, n_ids long, ids_crc32 long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text), encoded and decoded: doc_id, n_ids, ids_crc32,
-    decoded_sha256 (lowercase hex of the decoded text)."""
-    decoded = decode_ids(encode_texts(docs, model_path, kind), model_path, kind)
-    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """One row for each row of ``docs`` (doc_id, text), encoded, and decoded from the ids alone: doc_id,
+    n_ids, ids_crc32, score, decoded_sha256 (lowercase hex of the decoded text).
+
+    Both ways run in one pass, in the same worker.  Null text counts as empty and has no ids; other
+    columns are ignored; repeated rows are repeated; no rows give no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(model_path, kind), decoder_of(model_path, kind)
+        for batch in byte_blocks(batches, 1, BLOCK_BYTES):
+            rows = [(len(raw) // 4, zlib.crc32(raw), score, hashlib.sha256(decoder.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest()) for raw, score in encoder.encode(batch.column(1).to_pylist())]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "score", "decoded_sha256"])
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return read.mapInArrow(tidy(run), "doc_id long, n_ids long, ids_crc32 long, score double, decoded_sha256 string")

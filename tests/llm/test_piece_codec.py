@@ -28,7 +28,7 @@ def test_ids_equal_the_library(path):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     encoder = piece_codec.PrefixEncoder(piece_codec.PieceModel.load(path))
     texts = soup() + [t or "" for _, t in corpus()]
-    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+    for text, (raw, _) in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text), text
 
 
@@ -57,10 +57,48 @@ def test_viterbi_of_scored_pieces():
             table.append(max(options, key=lambda o: o[0]))
         return table[-1]
 
-    out = piece_codec.PrefixEncoder(model).encode_words(words)
-    cost = lambda ids: sum(model.penalty if i == 0 else model.scores[i] for i in ids)
-    for word in words:
-        assert cost(out[word]) == pytest.approx(best(word)[0])
+    out = list(piece_codec.PrefixEncoder(model).encode_words(words))
+    assert {word for word, _, _ in out} == words
+    for word, ids, score in out:
+        assert sum(model.penalty if i == 0 else model.scores[i] for i in ids) == pytest.approx(score) == pytest.approx(best(word)[0])
+
+
+def real_words():
+    import duckdb
+
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    return {piece_codec.MARK + w for (t,) in rows for w in t.split(" ") if w}
+
+
+def test_forward_scores_of_real_text(path):
+    """The path's score is the sum of its pieces' scores, whatever prefixes were shared; the same pieces
+    taken as a unigram model get the best path of the whole lattice."""
+    words = real_words()
+    model = piece_codec.PieceModel.load(path)
+    piece_scores = lambda m, ids: sum(m.scores.get(i, 0.0) for i in ids)
+    alone = piece_codec.PrefixEncoder(model)
+    for word, ids, score in piece_codec.PrefixEncoder(model).encode_words(words):
+        if all(i in model.scores for i in ids):
+            assert score == pytest.approx(piece_scores(model, ids))
+        assert next(alone.encode_words({word}))[1:] == (ids, score)
+    scored = piece_codec.PieceModel.load(path, "unigram")
+    for word, ids, score in piece_codec.PrefixEncoder(scored).encode_words(set(sorted(words)[:400])):
+        table = [0.0]
+        for end in range(1, len(word) + 1):
+            steps = [table[end - n] + scored.scores[scored.ids[word[end - n : end]]] for n in range(1, end + 1) if word[end - n : end] in scored.ids]
+            table.append(max(steps, default=table[end - 1] + scored.penalty))
+        assert score == pytest.approx(table[-1])
+
+
+def test_stable_pairs_are_those_that_merging_leaves(path):
+    model = piece_codec.PieceModel.load(path)
+    encoder, rng = piece_codec.PrefixEncoder(model), random.Random(3)
+    reached = [p for p in model.ids if len(p) == 1 or encoder._split[p]]
+    assert all((model.merged(p) == [p]) == (len(p) == 1 or bool(encoder._split[p])) for p in rng.sample(sorted(model.ids), 3_000))
+    short = [p for p in reached if len(p) < 4]
+    for _ in range(6_000):
+        left, right = rng.choice(short if rng.random() < 0.7 else reached), rng.choice(short if rng.random() < 0.7 else reached)
+        assert encoder._stable(left, right) == (model.merged(left + right) == [left, right]), (left, right)
 
 
 def test_round_trip_on_frames(spark, path):
