@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.llm.common import materialise, text_or_empty
+from docloom.llm.common import discard, materialise, text_or_empty
 
 BITS = 4
 #: Runs that a cell's rows are dealt to, so that one full cell is many tasks.
@@ -67,18 +67,33 @@ def curve(dimensions: int, bits: int) -> list[int]:
 
 
 def _number(column: Column, kind: T.DataType) -> Column:
-    """An order-preserving number: of strings and bytes the first six bytes; null stays null."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    return column.cast("double")
+    """An order-preserving number; null stays null."""
+    return F.unix_date(column).cast("double") if isinstance(kind, T.DateType) else column.cast("double")
+
+
+def _ordered_cuts(docs: DataFrame, column: Column, codes: int) -> list:
+    """Values that cut the rows of ``docs`` into ``codes`` runs of about equal count by whole values.
+
+    The distinct values with their counts are dealt to ranges, counts are summed over ranges, then
+    inside them; ``codes`` - 1 values come to the driver.
+    """
+    values = docs.select(column.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialise(values.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "values")
+    # one row for each range
+    ranges = ranged.groupBy("range").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("below"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("all"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    placed = ranged.join(ranges, "range").select("v", "all", upto.alias("upto"))
+    cuts = placed.agg(*(F.min(F.when(F.col("upto") * codes >= F.col("all") * i, F.col("v"))).alias(f"c{i}") for i in range(1, codes))).first()
+    discard(ranged)
+    return list(cuts)
 
 
 def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int, law: str = "rows", bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, curve, rank, shard, slot of each row of ``docs`` (doc_id, text), and ``carry``.
 
-    ``dimensions``: expressions over ``docs`` by name.  ``law``: ``rows`` (counts of any two shards
+    ``dimensions``: expressions over ``docs`` by name; strings and bytes are cut by whole values.  ``law``: ``rows`` (counts of any two shards
     differ by one at most) or ``bytes`` (a row goes where the bytes before it fall among equal
     parts of all bytes, so a shard is off by one row's size at most).  Shards are runs of the curve
     order; inside a cell rows stand by a hash, then doc_id.  slot counts a shard's rows from 0.
@@ -91,12 +106,16 @@ def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int,
         raise ValueError(law)
     names = [f"d{i}" for i in range(len(dimensions))]
     raw = docs.select(*(c.alias(n) for n, c in zip(names, dimensions.values(), strict=True)))
-    numbers = [_number(c, raw.schema[n].dataType) for n, c in zip(names, dimensions.values(), strict=True)]
+    kinds = [raw.schema[n].dataType for n in names]
+    words = [isinstance(kind, (T.StringType, T.BinaryType)) for kind in kinds]
+    compared = [c if w else _number(c, k) for c, w, k in zip(dimensions.values(), words, kinds, strict=True)]
     codes = 1 << bits
     steps = [i / codes for i in range(1, codes)]
-    # codes - 1 numbers for each dimension come to the driver
-    cuts = docs.agg(*(F.percentile_approx(x, steps, 10_000).alias(n) for n, x in zip(names, numbers, strict=True))).first()
-    code = [sum((F.when(x > F.lit(cut), 1).otherwise(0) for cut in sorted(set(cuts[n] or ()))), F.lit(0)) for n, x in zip(names, numbers, strict=True)]
+    # codes - 1 values for each dimension come to the driver
+    numeric = [F.percentile_approx(x, steps, 10_000).alias(n) for n, x, w in zip(names, compared, words, strict=True) if not w]
+    found = docs.agg(*numeric).first().asDict() if numeric else {}
+    cuts = [_ordered_cuts(docs, x, codes) if w else found[n] or [] for n, x, w in zip(names, compared, words, strict=True)]
+    code = [sum((F.when(x > F.lit(cut), 1).otherwise(0) for cut in sorted({c for c in own if c is not None})), F.lit(0)) for x, own in zip(compared, cuts, strict=True)]
     cell = F.lit(0)
     for c in code:
         cell = cell * codes + c

@@ -74,3 +74,35 @@ def test_written_shards_prune(spark, tmp_path):
     assert back.count() == 400 and set(back.columns) == {*docs.columns, "shard"}
     spread = back.groupBy("lang").agg(F.countDistinct("shard").alias("n")).where("lang is not null").agg(F.min("n")).first()[0]
     assert spread < 4
+
+
+def test_long_shared_prefixes_get_codes_of_their_own(spark):
+    rows = [(i, "x", f"https://example.org/a/very/long/shared/prefix/site{i % 16}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = sharding.hilbert_shards(docs, {"source": F.col("source")}, 16, carry=("source",)).collect()
+    assert len({r.curve for r in out}) == 16
+    assert all(len({r.carried.source for r in out if r.shard == k}) == 1 for k in range(16))
+
+
+def test_codes_of_strings_are_equally_filled(spark):
+    rng = random.Random(5)
+    rows = [(i, None, rng.choice([None, f"{rng.randrange(10**9):x}", "hot"])) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = sharding.hilbert_shards(docs, {"source": F.col("source")}, 8, bits=3, carry=("source",)).collect()
+    found = sorted((r.carried.source, r.curve) for r in out if r.carried.source is not None)
+    assert [c for _, c in found] == sorted(c for _, c in found)
+    counts = [sum(c == k for _, c in found) for k in {c for s, c in found if s != "hot"}]
+    assert max(counts) < 2_000 * 0.5 + 2_000 / 8 + 60 and len({c for _, c in found}) >= 4
+
+
+def test_written_shards_let_a_reader_skip_files(spark, tmp_path):
+    """A filter on any dimension meets fewer shards, by their ranges, than in the order of doc_id."""
+    rng = random.Random(9)
+    rows = [(i, "y" * rng.randrange(4_000), rng.choice(["de", "en", "es", "fr"]), f"https://host/{rng.randrange(40):02}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n", F.length("text"))
+    placed = sharding.hilbert_shards(docs, {"lang": F.col("lang"), "source": F.col("source"), "n": F.col("n")}, 64, carry=("lang", "source", "n"))
+    curve = sharding.shard_ranges(placed, ["lang", "source", "n"]).collect()
+    plain = sharding.shard_ranges(placed.withColumn("shard", F.floor(F.col("doc_id") * 64 / len(rows))), ["lang", "source", "n"]).collect()
+    met = lambda ranges, c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in ranges)
+    for column, value in (("lang", "de"), ("source", "https://host/07"), ("n", 3_000)):
+        assert met(plain, column, value) == 64 and met(curve, column, value) < 64 * 0.6
