@@ -18,17 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_blocks, text_or_empty
+from docloom.llm.common import BoundedWords, byte_blocks, text_or_empty, tidy
 
 BITS = 18
 #: Rated rows that a fit uses at most.
 SAMPLE_ROWS = 16_000
-#: Rows of the sample that a feature must stand in to get a weight.
-LEAST_ROWS = 12
+#: The share of the sample's rows, and the rows, that a feature must stand in to get a weight.
+LEAST_SHARE, LEAST_ROWS = 0.00075, 4
 ROUNDS = 120
 L2 = 2e-4
-L1 = 0.06
-CACHED_WORDS = 600_000
+#: What the first penalty is chosen from, by the ranking of the rows held out, one in HELD_OUT.
+L1 = (0.03, 0.06, 0.12)
+HELD_OUT = 5
 #: The share that the tail probability must reach for a text to be selected.
 SELECT_FROM = 0.5
 
@@ -43,7 +44,7 @@ def _feature(name: str) -> int:
 _LOWER, _TITLE = _feature("s:a"), _feature("s:Aa")
 
 
-class Features(dict):
+class Features(BoundedWords):
     """Feature indices of words: the word without its marks, and the shape of its case and marks.
 
     ``only``: flags of the indices that matter, others are left out.
@@ -53,19 +54,14 @@ class Features(dict):
         super().__init__()
         self.only = only
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    def value(self, word: str) -> tuple[int, ...]:
         if word.isalpha() and word[1:].islower():
             found = (_LOWER if word[0].islower() else _TITLE, _feature("w:" + word.lower()))
         else:
             core = "".join(_LETTERS.findall(word))
             shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
             found = (_feature("s:" + _REPEATED.sub(r"\1", shape)[:12]), *([_feature("w:" + core.lower())] if core else []))
-        if self.only is not None:
-            found = tuple(i for i in found if self.only[i])
-        self[word] = found
-        return found
+        return found if self.only is None else tuple(i for i in found if self.only[i])
 
 
 def _graded(name: str, value: float, steps: int) -> int:
@@ -100,21 +96,43 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = ROUNDS, l2: float = L2, l1: float = L1) -> OrdinalModel:
+@dataclass(frozen=True)
+class Sample:
+    """Feature indices of rows, one row's after the other's, and how many each row has."""
+
+    index: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Sample:
+        return Sample(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32), np.array([len(r) for r in rows], np.int64))
+
+    def part(self, chosen: np.ndarray) -> Sample:
+        return Sample(self.index[np.repeat(chosen, self.lengths)], self.lengths[chosen])
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    def frequent(self, least_share: float) -> Sample:
+        """Without the features that stand in less than this share of the rows, or in fewer than LEAST_ROWS."""
+        kept = (np.bincount(self.index, minlength=1 << BITS) >= max(LEAST_ROWS, least_share * len(self.lengths)))[self.index]
+        return Sample(self.index[kept], np.bincount(self.owners()[kept], minlength=len(self.lengths)))
+
+
+def fit(sample: Sample, grades: np.ndarray, top: int, rounds: int = ROUNDS, l2: float = L2, l1: float = L1[1], least_share: float = LEAST_SHARE) -> OrdinalModel:
     """A cumulative-link model of grades 0 to ``top`` by proximal Adam on the mean log-likelihood, from zero.
 
-    ``l1`` and ``l2`` shrink the weights, the first to nothing where a feature tells little.
+    ``l1`` and ``l2`` shrink the weights, the first to nothing where a feature tells little;
+    features in less than ``least_share`` of the rows, or in fewer than LEAST_ROWS, have no weight.
 
     Grades weigh as if each were as frequent as any other.  The result depends on nothing but
     the arguments.
     """
-    n, size = len(rows), 1 << BITS
-    lengths = np.array([len(r) for r in rows], np.int64)
-    index = np.concatenate(rows) if n else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(n), lengths)
-    frequent = np.bincount(index, minlength=size) >= LEAST_ROWS
-    owner, index = owner[frequent[index]], index[frequent[index]]
-    used, index = np.unique(index, return_inverse=True)
+    sample = sample.frequent(least_share)
+    n, size = len(sample.lengths), 1 << BITS
+    owner = sample.owners()
+    used, index = np.unique(sample.index, return_inverse=True)
+    index = index.astype(np.int32)
     present = np.bincount(grades, minlength=top + 1)
     weight = (1.0 / np.maximum(1, present))[grades] / max(1, (present > 0).sum())
     w, base, gaps = np.zeros(len(used)), 0.0, np.zeros(max(0, top - 1))
@@ -161,16 +179,47 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS, s
             found = [text_features(t, words).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
 
-    return texts.mapInArrow(run, "doc_id long, grade int, features array<int>")
+    return texts.mapInArrow(tidy(run), "doc_id long, grade int, features array<int>")
+
+
+def ranked_above(scores: np.ndarray, high: np.ndarray) -> float:
+    """How often a row of ``high`` scores above another one that is not (ties count half)."""
+    _, place, count = np.unique(scores, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    n = int(high.sum())
+    return float((rank[high].sum() - n * (n + 1) / 2) / (n * (len(high) - n))) if 0 < n < len(high) else 0.5
+
+
+def chosen_penalty(sample: Sample, grades: np.ndarray, top: int) -> float:
+    """The first penalty under which held-out rows of higher grades are ranked best above lower ones.
+
+    One row in HELD_OUT, by place, is held out; too few rows for that give the middle choice.
+    """
+    held = np.arange(len(grades)) % HELD_OUT == HELD_OUT - 1
+    if held.sum() < 2 * (top + 1):
+        return L1[1]
+    fitted, judged, own = sample.part(~held), sample.part(held), grades[held]
+    owner = judged.owners()
+
+    def ranking(l1: float) -> float:
+        model = fit(fitted, grades[~held], top, l1=l1)
+        scores = np.bincount(owner, model.weights[judged.index], len(own))
+        return sum(ranked_above(scores, own >= k) for k in range(1, top + 1))
+
+    return max(L1, key=ranking)
 
 
 def train(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """The model of a bounded sample; without rated documents every grade is as likely."""
-    found = rated_sample(docs, ratings, rows).toArrow().sort_by("doc_id")
+    found = rated_sample(docs, ratings, rows).toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     grades = found.column("grade").to_numpy().astype(np.int64)
-    features = [np.asarray(f.values).astype(np.int64) for f in found.column("features")]
+    features = found.column("features").combine_chunks()
+    sample = Sample(features.flatten().to_numpy(), features.value_lengths().to_numpy().astype(np.int64)).frequent(LEAST_SHARE)
+    del found, features
+    pa.default_memory_pool().release_unused()
     top = int(ratings.agg(F.max("grade")).first()[0] or 1)
-    return fit(features, np.clip(grades, 0, top), top)
+    grades = np.clip(grades, 0, top)
+    return fit(sample, grades, top, l1=chosen_penalty(sample, grades, top))
 
 
 def _scorer(docs: DataFrame, model: OrdinalModel):
@@ -201,7 +250,7 @@ def graded_quality(docs: DataFrame, model: OrdinalModel, select_from: float = SE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= select_from)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return read.mapInArrow(tidy(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def kept_rows(docs: DataFrame, model: OrdinalModel, select_from: float = SELECT_FROM) -> DataFrame:
@@ -216,7 +265,7 @@ def kept_rows(docs: DataFrame, model: OrdinalModel, select_from: float = SELECT_
                 if kept.any():
                     yield block.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_thresholds_are_ordered_and_the_fit_repeats(model):
     assert (np.diff(model.thresholds) > 0).all()
     rows, grades = rated(200, 3)
     words = quality.Features()
-    features = [quality.text_features(t, words) for _, t in rows]
+    features = quality.Sample.of([quality.text_features(t, words) for _, t in rows])
     labels = np.array([g for _, g in grades])
     first, second = (quality.fit(features, labels, 2, 20) for _ in range(2))
     assert (first.weights == second.weights).all() and (first.thresholds == second.thresholds).all()
@@ -79,3 +79,15 @@ def test_the_sample_is_bounded_and_each_document_once(spark):
     ratings = spark.createDataFrame([*grades, *grades, (7, 0)], "doc_id long, grade int")
     out = quality.rated_sample(spark.createDataFrame(rows, DOCS), ratings, 40).collect()
     assert len(out) == 40 == len({r.doc_id for r in out})
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """Fitted on the rated documents of even doc_id, judged on the odd ones of the larger test table."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    ratings = quality.ratings_of(read("labels"))
+    model = quality.train(read("documents"), ratings.where("doc_id % 2 = 0"))
+    judged = quality.graded_quality(read("documents"), model).join(ratings.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    clean, good = (judged.grade == 2).to_numpy(), (judged.grade > 0).to_numpy()
+    assert quality.ranked_above(judged.tail_probability.to_numpy(), clean) > 0.9
+    assert quality.ranked_above(judged.expected_grade.to_numpy(), good) > 0.95
+    assert judged.kept[clean].mean() > 0.9
