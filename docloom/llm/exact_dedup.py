@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import byte_blocks, materialise, text_or_empty
+from docloom.llm.common import byte_blocks, materialise, text_or_empty, tidy
 
 #: The characters that do not count: the class [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -27,7 +27,7 @@ MASK_BITS = 12
 MAX_CHUNK = 65_536
 DIGEST_BYTES = 16
 #: Bytes of chunks that a task remembers in order not to send them twice.
-SEEN_BYTES = 32_000_000
+SEEN_BYTES = 16_000_000
 
 _GEAR = np.random.default_rng(20_240_601).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -77,7 +77,7 @@ def _recipes(docs: DataFrame, cut: tuple[int, int, int], size: int) -> DataFrame
                 digests.append(hashlib.sha256(plain).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(recipes, pa.binary()), pa.array(digests, pa.string())], names=["doc_id", "n_chars", "recipe", "text_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_chars long, recipe binary, text_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_chars long, recipe binary, text_sha256 string")
 
 
 def _distinct_chunks(docs: DataFrame, cut: tuple[int, int, int], size: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _distinct_chunks(docs: DataFrame, cut: tuple[int, int, int], size: int) -> D
             if digests:
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "chunk"])
 
-    return docs.mapInArrow(run, "digest binary, chunk binary").distinct()
+    return docs.mapInArrow(tidy(run), "digest binary, chunk binary").distinct()
 
 
 def _positions(docs: DataFrame, cut: tuple[int, int, int], size: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _positions(docs: DataFrame, cut: tuple[int, int, int], size: int) -> DataFra
             types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_sha256", "seq", "digest", "chunk"])
 
-    return docs.mapInArrow(run, "doc_id long, text_sha256 string, seq long, digest binary, chunk binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, text_sha256 string, seq long, digest binary, chunk binary")
 
 
 def _told_apart(docs: DataFrame, recipes: DataFrame, chunks: DataFrame, collided: DataFrame, cut: tuple[int, int, int], size: int) -> DataFrame:
@@ -172,10 +172,10 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     Rows are matched by doc_id and the digest of the text; of repeated rows one stays.
     """
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.lit(True).alias("__kept"))
+    key = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), sha)
+    kept = verdicts.where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
     plain = F.regexp_replace(text_or_empty(), r"[\x20\x09-\x0D]", "")
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("__doc"), F.sha2(plain.cast("binary"), 256).alias("__digest"), F.length(text_or_empty()).alias("__n"))
-    found = row.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    first = Window.partitionBy("__doc", "__digest").orderBy(F.desc("__n"))
-    return found.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select("row.*")
-
+    row = docs.select(F.struct("*").alias("row"), key(F.col("doc_id").cast("long"), F.sha2(plain.cast("binary"), 256)).alias("__key"), F.length(text_or_empty()).alias("__n"))
+    # The join and the choice among repeated rows go by one key: texts are moved once.
+    first = Window.partitionBy("__key").orderBy(F.desc("__n"))
+    return row.join(kept, "__key", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select("row.*")

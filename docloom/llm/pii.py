@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_blocks, text_or_empty
+from docloom.llm.common import byte_blocks, text_or_empty, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -203,14 +205,25 @@ def normalise(text: str) -> Mapped | None:
     return mapped
 
 
-def _covered(span: Span, spans: list[Span]) -> bool:
-    """Whether spans of the same kind cover ``span``, alone or together."""
-    at = span.start
-    for s in sorted(s for s in spans if s.kind == span.kind):
-        if s.start > at:
-            break
-        at = max(at, s.end)
-    return at >= span.end
+def _uncovered(spans: list[Span], known: list[Span]) -> list[Span]:
+    """The ``spans`` that those of their kind in ``known``, and those taken before, don't cover, alone
+    or together."""
+    taken: list[Span] = []
+    for kind in KINDS:
+        covered: list[list[int]] = []  # what is known, as stretches that are ascending and apart
+        for s in sorted(s for s in known if s.kind == kind):
+            if covered and s.start <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], s.end)
+            else:
+                covered.append([s.start, s.end])
+        reached = 0
+        for s in sorted(s for s in spans if s.kind == kind):
+            at = max(s.start, reached)
+            k = bisect_right(covered, at, key=itemgetter(0)) - 1
+            if max(at, covered[k][1] if k >= 0 else 0) < s.end:
+                taken.append(s)
+                reached = max(reached, s.end)
+    return taken
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -220,13 +233,9 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """
     base = detect(text)
     mapped = normalise(text)
-    added: list[Span] = []
-    if mapped:
-        for s in detect(mapped.text):
-            span = Span(s.kind, mapped.start[s.start], mapped.end[s.end - 1])
-            if not _covered(span, base + added):
-                added.append(span)
-    return base, added
+    if not mapped:
+        return base, []
+    return base, _uncovered([Span(s.kind, mapped.start[s.start], mapped.end[s.end - 1]) for s in detect(mapped.text)], base)
 
 
 def joined(spans: list[Span]) -> str:
@@ -269,7 +278,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return read.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
@@ -283,7 +292,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
                 texts = [t if t is None else masked(t, [s for found in find_spans(t) for s in found]) for t in block.column(at).to_pylist()]
                 yield block.set_column(at, "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
