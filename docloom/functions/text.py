@@ -79,19 +79,38 @@ def stem(c: ColumnLike) -> Column:
     return F.when((F.length(word) > 4) & word.rlike(r"^\p{L}+$"), out).otherwise(word)
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _with_parts(token: Column) -> Column:
     """A token's terms: its stem; of compounds the parts' stems and the parts joined; of letters and digits both."""
     parts = F.filter(F.split(token, "[-_./#]"), lambda p: p != "")
     compound = F.concat(F.transform(F.filter(parts, lambda p: ~is_stop(p)), stem), F.array(F.array_join(parts, "")))
     halves = F.array(F.regexp_extract(token, r"^[a-z]+", 0), F.regexp_extract(token, r"\d+$", 0))
     more = F.when(F.size(parts) > 1, compound).when(token.rlike(r"^[a-z]+[0-9]+$"), halves).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array(stem(token)), more)
+    # Most tokens are plain words, which need none of this.
+    return F.when(F.translate(token, _LETTERS, "") == "", F.array(stem(token))).otherwise(F.concat(F.array(stem(token)), more))
+
+
+def words(c: ColumnLike) -> Column:
+    """Tokens of a text but stop words, with repeats; each stands for the terms that :func:`terms_of` gives."""
+    return F.filter(F.regexp_extract_all(F.lower(known(c)), F.lit(TOKEN), F.lit(0)), lambda t: ~is_stop(t))
+
+
+def terms_of(token: ColumnLike) -> Column:
+    """The terms of one token."""
+    return _with_parts(column(token))
+
+
+def term_count(found: ColumnLike) -> Column:
+    """How many terms tokens stand for; few have more than one."""
+    several = F.filter(column(found), lambda t: t.rlike(r"[^a-z]"))
+    return F.size(column(found)) + F.aggregate(several, F.lit(0), lambda acc, t: acc + F.size(_with_parts(t)) - 1)
 
 
 def tokens(c: ColumnLike) -> Column:
     """Terms of a text, with repeats."""
-    found = F.regexp_extract_all(F.lower(known(c)), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(F.filter(found, lambda t: ~is_stop(t)), _with_parts))
+    return F.flatten(F.transform(words(c), _with_parts))
 
 
 def identifiers(c: ColumnLike) -> Column:

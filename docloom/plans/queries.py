@@ -13,6 +13,7 @@ from docloom.functions import fixed, recognition, replies, text
 from docloom.operators import citations, context, corpus, index, retrieve, score
 from docloom.plans import cases, sql
 from docloom.sources import questions, results
+from docloom.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,7 +327,7 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_index(spark: SparkSession) -> index.Index:
     rows = _cases(spark, [(rel, i, "text", None, [(unit, loc, row) for unit, loc, row in units]) for i, (rel, units) in enumerate(cases.CORPUS)], "rel string, file_ord long, kind string, skip string, units array<struct<text:string,loc:string,is_row:boolean>>")
     built = index.build_index(corpus.file_records(rows))
-    return replace(built, **{name: retrieve.held(getattr(built, name)) for name in index.Index.TABLES if getattr(built, name) is not None})
+    return replace(built, **{name: staged(getattr(built, name)) for name in index.Index.TABLES if getattr(built, name) is not None})
 
 
 def small_questions(spark: SparkSession) -> DataFrame:

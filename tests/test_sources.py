@@ -55,7 +55,6 @@ def test_a_file_that_hangs_costs_itself_only(root, tmp_path):
     child.close()
 
 
-@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_index_is_built_once_and_answers(spark, root, tmp_path):
     held, built = index_store.ensure_index(spark, root, str(tmp_path / "index"))
     assert built
@@ -74,7 +73,6 @@ def test_index_is_built_once_and_answers(spark, root, tmp_path):
     assert index_store.ensure_index(spark, root, str(tmp_path / "index"))[1]
 
 
-@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_dense_ranking_and_picker(spark):
     files = corpus.documents_as_files(spark.createDataFrame([(1, "alpha value 5"), (2, "beta value 5"), (3, "gamma")], "doc_id long, text string"))
     built = index.build_index(files)
@@ -91,7 +89,6 @@ def test_dense_ranking_and_picker(spark):
     assert answering.answer(held, asked, recorded, recorded).first().citations == ["doc/1.txt"]
 
 
-@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_empty_index_and_no_questions(spark):
     held = index.build_index(corpus.documents_as_files(spark.createDataFrame([], "doc_id long, text string")))
     recorded = models.Recorded(reply_table=spark.createDataFrame([], "qid string, reply string"))
@@ -187,6 +184,12 @@ def test_office_files_from_their_parts():
     assert parsers.parse("b.xlsx", data) == ("xlsx", [("sheet One columns: id | n", "sheet One header", True), ("sheet One | n: 5", "sheet One row 3", True)])
     with pytest.raises(parsers.Skip, match="open failed"):
         parsers.parse("c.docx", b"PK\x03\x04 broken")
+    # Stretches end behind what makes them long enough, at headings, and at each of two tables in a row.
+    long = "x" * 700
+    body = f'<w:document {w}><w:body>{table}{table}{p(long)}{p(long)}{p("after")}{p("One", "Title")}{p("Two", "H1")}{p("")}{p("last")}</w:body></w:document>'
+    units = parsers.parse("d.docx", zipped(word__document_xml=body, word__styles_xml=styles))[1]
+    assert [(u[0], u[1]) for u in units if not u[2]] == [(f"{long}\n{long}", "body"), ("after", "body"), ("One", "One"), ("Two\nlast", "Two")]
+    assert [u[1] for u in units if u[2]] == ["table 1 header", "table 1 row 2", "table 2 header", "table 2 row 2"]
 
 
 def test_question_files_on_disk(spark, tmp_path):
@@ -225,7 +228,6 @@ def test_scaled_sizes_equal_the_expression(spark):
         assert (s.width, s.height) == images.scaled_size(w, h, 640, 1600)
 
 
-@pytest.mark.skipif(not os.environ.get("DOCLOOM_SLOW"), reason="the end-to-end plan takes minutes to build")
 def test_command_line(spark, root, tmp_path):
     (tmp_path / "replies.json").write_text("\n".join(json.dumps({"qid": q, "reply": r}) for q, _, r, *_ in cases.QUESTIONS))
     (tmp_path / "ask.json").write_text(json.dumps([{"id": q, "question": said} for q, said, *_ in cases.QUESTIONS]))
