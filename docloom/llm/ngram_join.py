@@ -305,9 +305,10 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Tiles of about BLOCK rows at most as they are; of larger ones a tile for each two blocks of rows."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = materialise(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"), "large")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    dealt = members.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return dealt.select(F.concat_ws(":", "key", low, high).alias("tile"), F.when((low == high) | (F.col("block") == low), 0).otherwise(1).cast("long").alias("side"), "id", "n", "component")
 
@@ -349,6 +350,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     # A set is a node of its own number, whatever doc_ids its texts have; of its rows, the least stands for it.
     least = signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("row"))
     firsts = materialise(least.select(*same, "row.id", "row.digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
+    members = signs.select("id", *same).join(firsts.select(*same, "node", F.col("id").alias("least")), same, "left").select("id", "n", "node", "least")
+    members = materialise(members, "members")
     tiles = _tiles(signs, firsts, same)
 
     wanted = firsts.join(tiles.select(F.explode(F.array("id", "pivot")).alias("node")).distinct(), "node")
@@ -357,7 +360,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     groups = _components(tiles, sets, num, den)
     discard(tiles, sets)
 
-    members = signs.select("id", *same).join(firsts.select(*same, "node", F.col("id").alias("least")), same, "left").select("id", "n", "node", "least")
     named = groups.withColumnRenamed("id", "node")
     tops = named.join(firsts.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("top"))
     joined = members.join(named.join(tops, "component").select("node", "top"), "node", "left")
@@ -367,10 +369,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
 
 def _tiles(signs: DataFrame, firsts: DataFrame, same: list[str]) -> DataFrame:
     """(key, id, n, pivot, rows) of each set's tiles that other sets share, but for the most frequent
-    that it may leave; ``pivot`` and ``rows`` are the least set and the number of sets with that key."""
+    that it may leave; ``pivot`` and ``rows`` are the least set and the number of sets with that key.
+
+    ``signs`` is deleted as soon as its keys are not needed.
+    """
     keyed = signs.where(F.size("keys") > 0).select("id", "digest", *same, "even", "odd", "keys")
     # Of rows that repeat a text, one brings the keys.
     alone = materialise(keyed.join(firsts, ["id", "digest", *same]).select("node", "n", "even", "odd", "keys").dropDuplicates(["node"]), "keyed")
+    discard(signs)
     rows = alone.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("pivot")).where("rows > 1")
     both = rows.join(shared, "key").join(alone.select(F.col("node").alias("id"), "n", "even", "odd"), "id")
