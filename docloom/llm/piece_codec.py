@@ -13,26 +13,32 @@ keep it follows from the order of merges alone, without merging anything.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from math import inf
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import CACHE_BYTES, byte_blocks, text_or_empty, tidy
+from docloom.llm.common import byte_blocks, text_or_empty, tidy
 
 MARK = "▁"
-#: Bytes of text that are encoded together.
-BLOCK_BYTES = 4_000_000
+#: Bytes of text that are encoded together: the more, the more prefixes are shared; some 400,000 distinct
+#: words, and as many bytes again as ten times the block at most, for a worker.
+BLOCK_BYTES = 16_000_000
+#: What a worker remembers of the words of the blocks before, in bytes.
+CACHE_BYTES = 64_000_000
 
 
 _ONE = (1,)
+#: Pairs of pieces that an encoder remembers to be stable or not.
+CACHED_PAIRS = 300_000
 
 
 class PieceModel:
@@ -49,10 +55,10 @@ class PieceModel:
         self.pieces, self.kind, self.bytes_from, self.unknown = pieces, kind, bytes_from, unknown
         self.ids = {p[0]: i for i, p in enumerate(pieces) if p}
         self.scores = {i: p[1] for i, p in enumerate(pieces) if p}
-        # By its last two characters, which lengths a piece can have, the longest first.
+        # By its last two characters, which lengths a piece can have, the longest first; one is always tried.
         ends: dict[str, set[int]] = {}
         for piece in self.ids:
-            ends.setdefault(piece[-2:], set()).add(len(piece))
+            ends.setdefault(piece[-2:], {1}).add(len(piece))
         self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
 
@@ -115,6 +121,8 @@ class PrefixEncoder:
             # When a symbol comes to be: letters are there from the start, then the better score.
             self._made = {p: -model.scores[i] for p, i in model.ids.items() if len(p) > 1}
             self._split = {p: model.last_merge(p) for p in self._made}
+            self._reached = {p for p in model.ids if len(p) == 1 or self._split[p]}
+            self._pairs: dict[tuple[str, str], bool] = {}
 
     def _stable(self, left: str, right: str) -> bool:
         """Whether merging leaves two adjacent pieces as they are.
@@ -138,37 +146,53 @@ class PrefixEncoder:
 
     def encode_words(self, words: set[str]) -> Iterator[tuple[str, list[int], float]]:
         """(word, ids, forward score) of each word; words hold marks at their start only."""
-        ids, lengths, bpe = self.model.ids, self.model.lengths, self.model.kind == "bpe"
-        scores, penalty, stable = self.model.scores, self.model.penalty, self._stable
-        split = self._split if bpe else {}
+        ids, lengths, scores, penalty = self.model.ids, self.model.lengths, self.model.scores, self.model.penalty
+        bpe = self.model.kind == "bpe"
+        reached, pairs = (self._reached, self._pairs) if bpe else (ids, {})
         # By prefix length: the best last piece or, without one, character, and the score.
         last, score, before = [""], [0.0], ""
         for word in sorted(words):
-            shared = len(commonprefix((before, word)))
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
             del last[shared + 1 :], score[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best, top = "", score[end - 1] + penalty
-                for n in (*lengths.get(word[max(0, end - 2) : end], ()), *_ONE[end < 2 :]):
+                best, top = "", score[-1] + penalty
+                for n in lengths.get(word[end - 2 if end > 1 else 0 : end], _ONE):
                     if n > end:
                         continue
                     piece = word[end - n : end]
-                    i = ids.get(piece)
-                    if i is None:
+                    if piece not in reached:
                         continue
                     if bpe:
-                        if (n == 1 or split[piece]) and (n == end or stable(last[end - n], piece)):
-                            best, top = piece, score[end - n] + scores[i]
-                            break  # the one step that the rule admits
-                    elif not best or score[end - n] + scores[i] > top:
-                        best, top = piece, score[end - n] + scores[i]
+                        if n < end:
+                            pair = last[end - n], piece
+                            known = pairs.get(pair)
+                            if known is None:
+                                if len(pairs) >= CACHED_PAIRS:
+                                    pairs.clear()
+                                known = pairs[pair] = self._stable(*pair)
+                            if not known:
+                                continue
+                        best, top = piece, score[end - n] + scores[ids[piece]]
+                        break  # the one step that the rule admits
+                    if not best or score[end - n] + scores[ids[piece]] > top:
+                        best, top = piece, score[end - n] + scores[ids[piece]]
                 last.append(best or word[end - 1])
                 score.append(top)
-            parts, at = [], len(word)
+            found, at = [], len(word)
             while at:
                 piece = last[at]
-                parts.append([ids[piece]] if piece in ids else self.model.spelled(piece))
+                i = ids.get(piece)
+                if i is None:
+                    found += reversed(self.model.spelled(piece))
+                else:
+                    found.append(i)
                 at -= len(piece)
-            yield word, [i for part in reversed(parts) for i in part], score[-1]
+            found.reverse()
+            yield word, found, score[-1]
             before = word
 
     def _run(self, n: int) -> list[int]:
@@ -205,20 +229,20 @@ class PrefixEncoder:
         a blank and a mark are the same."""
         if self._held > CACHE_BYTES:
             self.words, self._held = {}, 0
-        words, split = self.words, []
-        for text in texts:
-            parts = text.replace(" ", MARK).split(MARK) if text else []
-            split.append([MARK + p for p in parts])
-        for word, ids, score in self.encode_words({w for parts in split for w in parts if w not in words}):
-            words[word] = np.array(ids, "<u4").tobytes(), score
+        words = self.words
+        split = [[MARK + p for p in text.replace(" ", MARK).split(MARK)] if text else [] for text in texts]
+        new = set().union(*split)
+        new.difference_update(words)
+        for word, ids, score in self.encode_words(new):
+            words[word] = array("I", ids).tobytes(), score
             self._held += 300 + 4 * (len(word) + len(ids))  # the objects of an entry, roughly
         mark = self.model.ids.get(MARK, -1)
         out = []
         for parts in split:
             known = [words[p] for p in parts]
-            total = float(sum(s for _, s in known))
+            raw, scores = zip(*known, strict=True) if known else ((), ())
             if MARK not in parts:
-                out.append((b"".join([raw for raw, _ in known]), total))
+                out.append((b"".join(raw), float(sum(scores))))
                 continue
             # A run of marks before a word: the last one is the word's, as long as it merges with it.
             pieces, run = [], 0
@@ -234,7 +258,7 @@ class PrefixEncoder:
                 pieces.append(own)
             if run:
                 pieces.append(np.array(self._run(run), "<u4").tobytes())
-            out.append((b"".join(pieces), total))
+            out.append((b"".join(pieces), float(sum(scores))))
         return out
 
 
@@ -309,6 +333,7 @@ def round_trip(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = encoder_of(model_path, kind), decoder_of(model_path, kind)
+        gc.disable()  # hundreds of thousands of live words and no cycles: passes over them find nothing
         for batch in byte_blocks(batches, 1, BLOCK_BYTES):
             rows = [(len(raw) // 4, zlib.crc32(raw), score, hashlib.sha256(decoder.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest()) for raw, score in encoder.encode(batch.column(1).to_pylist())]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)]
