@@ -130,16 +130,22 @@ def fit(sample: Sample, grades: np.ndarray, top: int, rounds: int = ROUNDS, l2:
     """
     sample = sample.frequent(least_share)
     n, size = len(sample.lengths), 1 << BITS
-    owner = sample.owners()
     used, index = np.unique(sample.index, return_inverse=True)
     index = index.astype(np.int32)
+    # Sums over a row's features, and over a feature's rows, are of neighbours in these orders.
+    filled = np.flatnonzero(sample.lengths)
+    rows = (np.cumsum(sample.lengths) - sample.lengths)[filled]
+    by_feature = sample.owners()[np.argsort(index, kind="stable")]
+    features = np.searchsorted(np.sort(index), np.arange(len(used)))
     present = np.bincount(grades, minlength=top + 1)
     weight = (1.0 / np.maximum(1, present))[grades] / max(1, (present > 0).sum())
     w, base, gaps = np.zeros(len(used)), 0.0, np.zeros(max(0, top - 1))
     state = [np.zeros(len(used) + top) for _ in range(2)]
     for step in range(1, rounds + 1):
         t = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        score = np.bincount(owner, w[index], n)
+        score = np.zeros(n)
+        if len(used):
+            score[filled] = np.add.reduceat(w[index], rows)
         # P(grade = g) = tail(g) - tail(g + 1), tails by the thresholds around g
         tail = np.concatenate((np.ones((n, 1)), 1.0 / (1.0 + np.exp(np.clip(t[None, :] - score[:, None], -40, 40))), np.zeros((n, 1))), 1)
         slope = tail * (1 - tail)
@@ -150,7 +156,7 @@ def fit(sample: Sample, grades: np.ndarray, top: int, rounds: int = ROUNDS, l2:
         low, high = grades >= 1, grades < top
         np.add.at(d_t, grades[low] - 1, (weight * slope[at, grades] / p)[low])
         np.add.at(d_t, grades[high], (-weight * slope[at, grades + 1] / p)[high])
-        grad_w = np.bincount(index, d_score[owner], len(used)) + l2 * w
+        grad_w = (np.add.reduceat(d_score[by_feature], features) if len(used) else w) + l2 * w
         grad = np.concatenate((grad_w, [d_t.sum()], np.cumsum(d_t[::-1])[::-1][1:] * np.exp(gaps)))
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
