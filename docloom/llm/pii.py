@@ -91,12 +91,26 @@ _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινακρυχγτηεωϲϳ",
 _LATIN = {"ı": "i", "ɡ": "g", "ſ": "s"}
 _SIGNS = {"․": ".", "。": ".", "∙": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", " ": " ", " ": " ", " ": " "}
 _INVISIBLE = dict.fromkeys("­​‌‍⁠﻿", "")
-_FULL_WIDTH = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
-_DIGITS = {chr(base + d): str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
-_PLAIN = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D7CC))}
-#: Mathematical and letter-like signs of one letter, Latin or Greek.
-_MATHEMATICAL = {c: _GREEK.get(p, p) for c, p in _PLAIN.items() if len(p) == 1 and (p in _GREEK or p.isascii() and p.isalpha())}
-CHARACTERS = _CYRILLIC | _GREEK | _LATIN | _SIGNS | _INVISIBLE | _FULL_WIDTH | _DIGITS | _MATHEMATICAL
+#: From Unicode's data: the digits of all scripts, and letters, digits and signs in another shape (wide,
+#: small, encircled, mathematical), which stand for their plain one; raised and lowered ones do not.
+_SHAPES = ("<wide>", "<narrow>", "<small>", "<font>", "<circle>")
+
+
+def _plain_shapes() -> dict[str, str]:
+    found = {}
+    for c in map(chr, (*range(0x80, 0xFFFE), *range(0x10000, 0x1FBFF))):
+        digit = unicodedata.decimal(c, None)
+        if digit is not None:
+            found[c] = str(digit)
+        elif unicodedata.decomposition(c).startswith(_SHAPES):
+            plain = unicodedata.normalize("NFKC", c)
+            plain = _GREEK.get(plain, plain)
+            if len(plain) == 1 and plain.isascii() and plain.isprintable():
+                found[c] = plain
+    return found
+
+
+CHARACTERS = _plain_shapes() | _CYRILLIC | _GREEK | _LATIN | _SIGNS | _INVISIBLE
 # Spelled digits, in the languages of the documents.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
@@ -104,27 +118,39 @@ SPELLED |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "
 SPELLED |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
 
 #: Beyond the basic plane a whole range, which the matcher takes at once; not all of it are look-alikes.
-_LOOKALIKE = re.compile("[" + "".join(re.escape(c) for c in CHARACTERS if c < "\U00010000") + "\U0001D400-\U0001D7FF]")
+_LOOKALIKE = re.compile("[" + "".join(re.escape(c) for c in CHARACTERS if c < "\U00010000") + "\U00010000-\U0001FBFF]")
 _STARTS: dict[str, list[str]] = {}
 for _word in sorted(SPELLED, key=len, reverse=True):
     _STARTS.setdefault(_word[0], []).append(_word[1:])
 #: By first letter, which the matcher tells apart at once in lower case.
 _NAME = "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in _STARTS.items())
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
 _PLUS, _DOT, _DASH = "plus|más|mas", "dot|point|punkt|punto", "dash|strich|tiret|guion|guión"
 #: Three spelled digits in a row at least, single words between them; "plus", "dot" and "point" may stand among them.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})[ -]+)?(?:{_NAME}|[0-9])(?:(?:[ ,-]{{1,3}}|[ ]?(?:{_DOT})[ ]?|[ ](?:{_DASH})[ ])(?:{_NAME}|[0-9])){{2,}}(?![^\W_])")
-_SPELLED_WORD = re.compile(rf"({_PLUS})[ -]+|({_NAME})|([ ]?(?:{_DOT})[ ]?)|([ ](?:{_DASH})[ ])|([ ,-]{{1,3}})")
+_ONE = rf"(?:(?:{'|'.join(_TIMES)})[ -]?)?(?:{_NAME}|[0-9])"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})[ -]+)?{_ONE}(?:(?:[ ,-]{{1,3}}|[ ]?(?:{_DOT})[ ]?|[ ](?:{_DASH})[ ]|(?<=[0-9])(?=[0-9])){_ONE}){{2,}}(?![^\W_])")
+_SPELLED_WORD = re.compile(rf"({_PLUS})[ -]+|(?:({'|'.join(_TIMES)})[ -]?)?({_NAME}|[0-9])|([ ]?(?:{_DOT})[ ]?)|([ ](?:{_DASH})[ ])|([ ,-]{{1,3}})")
+#: Four numbers with words for the dots between them.
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ ]?(?:{_DOT})[ ]?[0-9]{{1,3}}){{3}}(?![0-9])")
+_DOT_WORD = re.compile(rf"[ ]?(?:{_DOT})[ ]?")
 #: Words for the at sign and the dot that belong together; "at .. point" is everyday English.
 _AT_DOT = (("at", "dot"), ("at|ät|klammeraffe", "punkt"), ("arobase|arobas", "point"), ("arroba", "punto"))
 _AT_WORDS = frozenset(word for ats, _ in _AT_DOT for word in ats.split("|"))
-_ANY = "|".join(sorted({word for pair in _AT_DOT for words in pair for word in words.split("|")}, key=len, reverse=True))
+_AT_SIGNS = _AT_WORDS | {"@", "a", "ä"}
+_ANY = "|".join(sorted({word for pair in _AT_DOT for words in pair for word in words.split("|")}, key=len, reverse=True)) + r"|@|\."
+#: A single letter in brackets stands for the at sign only inside a word.
+_TIGHT = re.compile(r"(?<=[A-Za-z0-9])[\[({]([aä])[\])}](?=[A-Za-z0-9])", re.IGNORECASE)
+# How the two signs are written in web pages and addresses.
+_CODED = re.compile(r"&#0*64;|&#x0*40;|&commat;|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9])|(&#0*46;|&#x0*2e;|&period;|(?<=[A-Za-z0-9])%2e(?=[A-Za-z0-9]))", re.IGNORECASE)
 _BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\[[ ]?({_ANY})[ ]?\]|\([ ]?({_ANY})[ ]?\)|\{{[ ]?({_ANY})[ ]?\}}|<[ ]?({_ANY})[ ]?>)[ ]{{0,2}}", re.IGNORECASE)
 #: name at host dot end; the bare words count only together.
 _BARE = tuple(
-    re.compile(rf"(?<=[A-Za-z0-9._%+-])([ ](?:{ats})[ ])([A-Za-z0-9-]{{1,63}})((?:[ ]{dot}[ ][A-Za-z0-9-]{{2,63}}){{0,2}}[ ]{dot}[ ]([A-Za-z]{{2,63}}))(?![A-Za-z0-9])", re.IGNORECASE)
+    re.compile(rf"(?<=[A-Za-z0-9._%+-])([ _](?:{ats})[ _])([A-Za-z0-9-]{{1,63}})((?:[ _]{dot}[ _][A-Za-z0-9-]{{2,63}}){{0,2}}[ _]{dot}[ _]([A-Za-z]{{2,63}}))(?![A-Za-z0-9])", re.IGNORECASE)
     for ats, dot in _AT_DOT
 )
-_BARE_DOT = re.compile(r"[ ](?:dot|punkt|point|punto)[ ]", re.IGNORECASE)
+_BARE_DOT = re.compile(r"[ _](?:dot|punkt|point|punto)[ _]", re.IGNORECASE)
+#: Words for dots behind an at sign that stands as such.
+_AFTER_AT = re.compile(r"(?<=@)[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}((?:[ _](?:dot|punkt|point|punto)[ _][A-Za-z0-9-]{2,63}){0,2}[ _](?:dot|punkt|point|punto)[ _]([A-Za-z]{2,63}))(?![A-Za-z0-9])", re.IGNORECASE)
 #: Words that are no host of an address, and words that are no top-level domain.
 _NO_HOST = frozenset("a an the this that these those my your his her its our their some any each every one der die das dem den ein eine le la les un une el los las una".split())
 _NO_END = frozenset("the this that these those and or but with from for was were are his her its our their der die das dem den und oder ein eine mit les des une est avec pour los las una con por que".split())
@@ -155,16 +181,22 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
         if not re.search(_NAME, run[0]):
             continue
         for m in _SPELLED_WORD.finditer(text, *run.span()):
-            plus, name, dot, dash, gap = m.groups()
-            if plus or name or dot or dash:
-                edits.append((*m.span(), "+" if plus else SPELLED[name] if name else "." if dot else "-"))
+            plus, times, name, dot, dash, gap = m.groups()
+            if times or plus or dot or dash or name in SPELLED:
+                edits.append((*m.span(), "+" if plus else SPELLED.get(name, name) * _TIMES.get(times, 1) if name else "." if dot else "-"))
             elif gap:
                 edits.append((*m.span(), ""))
-    return edits
+    ends = [0, *(e[1] for e in edits)]
+    for run in _DOTTED.finditer(text):
+        if bisect_right(ends, run.start()) == bisect_right(ends, run.end()):  # else it is part of a spelled run
+            edits += [(*m.span(), ".") for m in _DOT_WORD.finditer(text, *run.span())]
+    return sorted(edits)
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@" if m[m.lastindex].lower() in _AT_WORDS else ".") for m in _BRACKETED.finditer(text)]
+    edits = [(*m.span(), "@" if m[m.lastindex].lower() in _AT_SIGNS else ".") for m in _BRACKETED.finditer(text)]
+    edits += [(*m.span(), "@") for m in _TIGHT.finditer(text)]
+    edits += [(*m.span(), "." if m[1] else "@") for m in _CODED.finditer(text)]
     for pattern in _BARE:
         for m in pattern.finditer(text):
             if m[2].lower() not in _NO_HOST and m[4].lower() not in _NO_END:
@@ -177,9 +209,13 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _ending_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(*d.span(), ".") for m in _AFTER_AT.finditer(text) if m[2].lower() not in _NO_END for d in _BARE_DOT.finditer(text, *m.span(1))]
+
+
 #: Nothing is disguised by at or dot without one of these.
-_HINTS = ("dot", "punkt", "punto", "arob")
-_CLOSED_HINTS = tuple(f"{word}{gap}{close}" for word in ("at", "ät", "klammeraffe", "arroba", "point") for gap in ("", " ") for close in "])}>")
+_HINTS = ("dot", "punkt", "punto", "arob", "&#", "%40", "%2e", "&commat", "&period")
+_CLOSED_HINTS = tuple(f"{word}{gap}{close}" for word in ("at", "ät", "klammeraffe", "arroba", "point", "@", ".", "a", "ä") for gap in ("", " ") for close in "])}>")
 
 
 def _hinted(text: str) -> bool:
@@ -202,6 +238,8 @@ def normalise(text: str) -> Mapped | None:
     edited(_spelled_edits)
     if _hinted(mapped.text if mapped else text):
         edited(_disguise_edits)
+        if "@" in (mapped.text if mapped else text):
+            edited(_ending_edits)
     return mapped
 
 

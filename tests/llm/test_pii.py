@@ -127,3 +127,74 @@ def test_query_rows_and_masking(spark):
     assert masked[1].text == "x <EMAIL> <IP>" and masked[1].n_chars == 14 and masked[2].text is None
     assert masked[None].text == "<PHONE> ünd <EMAIL>"
     assert pii.personal_data(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def disguised(rng, kind, plain):
+    """The identifier in one of many disguises, in the languages of the documents."""
+    digits = dict(zip("0123456789", rng.choice([
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    ]).split(), strict=True))
+    alike = str.maketrans(dict(zip("aeopcxyi", "аеорсхуі", strict=True)))
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in t)
+    arabic = lambda t: "".join(chr(0x0660 + int(c)) if c.isdigit() else c for c in t)
+    if kind == "email":
+        at, dot = rng.choice([("at", "dot"), ("ät", "punkt"), ("arobase", "point"), ("arroba", "punto")])
+        return rng.choice([
+            lambda t: t.replace("@", f" {at} ").replace(".", f" {dot} "), lambda t: t.replace("@", f" [{at}] ").replace(".", f" ({dot}) "),
+            lambda t: t.replace("@", f" [{at}] ").replace(".", f" {dot} "), lambda t: t.replace("@", "(a)"), lambda t: t.replace(".", "[.]"),
+            lambda t: t.replace("@", "&#64;"), lambda t: t.replace("@", f"_{at}_").replace(".", f"_{dot}_"), lambda t: t.translate(alike), wide, bold,
+            lambda t: t[:2] + "\u200b" + t[2:],
+        ])(plain)
+    if kind == "ip":
+        return rng.choice([lambda t: t.replace(".", "[.]"), lambda t: t.replace(".", " dot "), lambda t: t.replace(".", " punkt "), wide, arabic])(plain)
+    if kind == "phone" and rng.random() < 0.3:
+        return "plus " + " ".join(digits[c] for c in plain if c.isdigit())
+    if rng.random() < 0.3:
+        return " ".join(digits[c] for c in plain if c.isdigit()) if kind == "card" else plain[0] + " ".join(digits[c] for c in plain if c.isdigit())
+    return rng.choice([wide, arabic, lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace(" ", "\u2011")])(plain)
+
+
+def test_recall_of_planted_disguises_and_precision_on_documents():
+    """Planted in the prose of the test documents; and what is added to these documents themselves."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    rng, found, planted, wrong = random.Random(12), 0, 0, 0
+    for text in texts[:600]:
+        kind = rng.choice(["email", "ip", "card", "phone"])
+        plain = {
+            "email": f"{rng.choice(['jane', 'p.doe', 'x9'])}@{rng.choice(['example', 'mail'])}.{rng.choice(['com', 'de', 'org'])}",
+            "ip": ".".join(str(rng.randrange(10, 250)) for _ in range(4)),
+            "card": rng.choice(["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+            "phone": f"+{rng.randrange(1, 99)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} {rng.randrange(100, 999)}",
+        }[kind]
+        hidden = disguised(rng, kind, plain)
+        words = text.split(" ")[:60]
+        at = rng.randrange(len(words) + 1)
+        before, after = " ".join([*words[:at], ""]), " ".join(["", *words[at:]])
+        spans = [(s.kind, s.start, s.end) for group in pii.find_spans(before + "| " + hidden + " |" + after) for s in group]
+        planted += 1
+        start = len(before) + 2
+        found += any(k == kind and s <= start and e >= start + len(hidden) for k, s, e in spans)
+    for text in texts:
+        wrong += len(pii.find_spans(text)[1])
+    assert found / planted > 0.97, found / planted
+    assert wrong <= len(texts) * 0.002
+
+
+def test_many_spans_take_no_square_of_time():
+    import time
+
+    text = " ".join(f"u{i}@h{i}.com" for i in range(20_000)) + " jаne@example.com"
+    began = time.process_time()
+    base, extra = pii.find_spans(text)
+    assert (len(base), len(extra)) == (20_001, 1) and time.process_time() - began < 2
+
+
+def test_further_disguises():
+    assert added("+1 202 double three 5 0147 now") == [("phone", "+1 202 double three 5 0147")]
+    assert added("see 192 dot 168 dot 0 dot 1.") == [("ip", "192 dot 168 dot 0 dot 1")]
+    assert added("mail jane [arroba] example punto com") == [("email", "jane [arroba] example punto com")]
+    assert added("(a) first, x(a) y, f(a)b") == [] and added("3 point 5 and 2 dot 1") == []
