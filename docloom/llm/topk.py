@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import materialise
+from docloom.llm.common import materialise, tidy
 
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 4_096
+#: Candidate blocks that queries are sent to together, once there are this many times PARTS of them.
+TOGETHER, PARTS = 16, 64
 BINS = 1_024
 SCALE = 256.0
 #: Integers up to here are exact in double arithmetic.
@@ -61,7 +63,7 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
             yield packed(dim)
 
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return read.mapInArrow(run, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    return read.mapInArrow(tidy(run), _BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,10 +87,12 @@ def _scored(pairs: DataFrame, schema: str, use: Callable[..., list[np.ndarray]])
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name, batch=batch, row=row: batch.column(name)[row]
+                low, need = (get(x).values.to_numpy(zero_copy_only=False) for x in ("low", "need"))
+                if get("q_norm").as_py() * get("c_norm").as_py() * (1 + 1e-9) + 1 < low.min():
+                    continue  # no score of these blocks is as high as any k-th
                 shape = (-1, get("dim").as_py())
                 q, c = (np.frombuffer(get(f"{x}_data").as_buffer(), get(f"{x}_kind").as_py()).astype(np.float64).reshape(get(f"{x}_n").as_py(), shape[1]) for x in "qc")
                 qid, cid = (np.frombuffer(get(f"{x}_ids").as_buffer(), "<i8") for x in "qc")
-                low, need = (get(x).values.to_numpy(zero_copy_only=False) for x in ("low", "need"))
                 scores = _scores(q, c)
                 scores[qid[:, None] == cid[None, :]] = np.iinfo(np.int64).min
                 columns = use(scores, qid, cid, low, need)
@@ -96,7 +100,7 @@ def _scored(pairs: DataFrame, schema: str, use: Callable[..., list[np.ndarray]])
                     arrays = [pa.array(np.full(len(columns[0]), get("q_block").as_py(), np.int64)), *(pa.array(x) for x in columns)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(tidy(run), schema)
 
 
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -118,15 +122,15 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
     most = min(math.ceil(reach[0][0] * reach[1][0] * (1 + 1e-9)) + 1, 2**62)  # no score is beyond
     shift = max(0, (2 * most + 1).bit_length() - (BINS.bit_length() - 1))
 
-    # A candidate block is a part; every block of queries is sent to every part.
-    spread = min(reach[1][1], 1 << 20)
+    # Every block of queries is sent to every part, which is one candidate block or several.
+    spread = min(reach[1][1], max(PARTS, math.ceil(reach[1][1] / TOGETHER)))
     parts = held.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)))
-    candidates = parts.select("dim", "part", F.col("n").alias("c_n"), F.col("ids").alias("c_ids"), F.col("kind").alias("c_kind"), F.col("data").alias("c_data"))
+    candidates = parts.select("dim", "part", F.col("n").alias("c_n"), F.col("norm").alias("c_norm"), F.col("ids").alias("c_ids"), F.col("kind").alias("c_kind"), F.col("data").alias("c_data"))
     places = parts.select("dim", "part").distinct()
     states = asked.select(F.col("block").alias("q_block"), F.transform(F.sequence(F.lit(1), "n"), lambda _: F.lit(-most).cast("long")).alias("low"), F.transform(F.sequence(F.lit(1), "n"), lambda _: F.lit(k).cast("int")).alias("need"))
 
     def pairs() -> DataFrame:
-        sides = asked.withColumnRenamed("block", "q_block").join(states, "q_block").select("q_block", "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), "low", "need")
+        sides = asked.withColumnRenamed("block", "q_block").join(states, "q_block").select("q_block", "dim", F.col("n").alias("q_n"), F.col("norm").alias("q_norm"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), "low", "need")
         return sides.join(places, "dim").join(candidates, ["dim", "part"])
 
     def histogram(shift: int, bins_used: int) -> Callable[..., list[np.ndarray]]:

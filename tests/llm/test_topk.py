@@ -33,6 +33,8 @@ def found(frame):
 def test_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 31)
+    monkeypatch.setattr(topk, "PARTS", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 3)
     rng = random.Random(2)
     common = [rng.gauss(0, scale) for _ in range(6)]
     rows = [(i, common if rng.random() < 0.4 else [rng.gauss(0, scale) for _ in range(6)]) for i in range(300)]
@@ -59,3 +61,23 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert topk.top_inner_products(frame, none, 5).collect() == []
     alone = spark.createDataFrame(rows[:1], SCHEMA)
     assert topk.top_inner_products(alone, alone, 5).collect() == []
+
+
+def test_blocks_of_small_vectors_are_skipped(spark, monkeypatch):
+    """Long vectors first, then short ones whose scores can't reach the k-th: the result is whole."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 20)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 50.0 if i < 40 else 0.01) for _ in range(4)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    asked = [r for r in rows if r[0] % 10 == 0]
+    assert found(topk.top_inner_products(frame, frame.where("vec_id % 10 = 0"), 5)) == brute(rows, asked, 5)
+
+
+def test_the_query_with_clashing_columns(spark, tmp_path):
+    from docloom.llm import registry
+
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(150)]
+    wide = [(*r, 1, "x", 2.0, 3, 4) for r in rows]
+    spark.createDataFrame(wide, f"{SCHEMA}, block int, kind string, norm double, rank int, query_id int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert found(registry.op9_topk(spark, str(tmp_path))) == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
