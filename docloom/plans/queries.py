@@ -1,19 +1,17 @@
-"""The reference operators as queries over whole tables, or over small tables of cases."""
+"""The reference operators as queries over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import fixed, recognition, replies, text
-from docloom.operators import citations, context, corpus, index, retrieve, score
-from docloom.plans import cases, sql
+from docloom.models import Recorded
+from docloom.operators import answer, citations, context, corpus, index, retrieve, score
+from docloom.plans import sql
 from docloom.sources import questions, results
-from docloom.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,12 +186,18 @@ def _row_sql(name: str, order: str, columns: list[str]) -> str:
 UNION ALL SELECT '{name}', row_number() OVER (ORDER BY {order}) + 1, '{name} row ' || (row_number() OVER (ORDER BY {order}) + 1), '{name} | ' || {body} FROM {name}"""
 
 
-_TABLES = {"region": ("r_regionkey", ["r_regionkey", "r_name"]), "nation": ("n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]), "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_size"])}
+_TABLES = {
+    "region": ("r_regionkey", ["r_regionkey", "r_name"]),
+    "nation": ("n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]),
+    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "supplier": ("s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+}
 
 
 @registered("\nUNION ALL ".join(_row_sql(n, o, c) for n, (o, c) in _TABLES.items()))
 def row_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables as sheets: one unit for each row, with the columns' names."""
+    """Tables as sheets, all columns: one unit for each row, with the columns' names."""
     out = None
     for name, (order, columns) in _TABLES.items():
         rows = corpus.table_rows(table(spark, sf_dir, name).select(*columns), [order])
@@ -212,15 +216,25 @@ def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.col("file_ord").alias("page_id"), F.explode("units").alias("u")).select("page_id", "u.loc", F.length(body).cast("long").alias("n_chars"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).cast("long").alias("line_ends"), F.md5(body.cast("binary")).alias("digest"))
 
 
-# --- tables of cases ------------------------------------------------------------------------------------
-def _cases(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+# --- files, families, marks of withdrawal -----------------------------------------------------------------
+_ENDS = [*(e for ends in fixed.KINDS.values() for e in ends), ".bin", ""]
+_KINDS = [next((k for k, ends in fixed.KINDS.items() if f".{e.rsplit('.', 1)[-1]}" in ends), None) if e else None for e in _ENDS]
 
 
-@registered("SELECT name, kind, reason FROM " + sql.values(cases.KIND_RESULTS, "name, kind, reason"))
+@registered(
+    f"""WITH f AS (SELECT page_id, (page_id % {len(_ENDS)})::INT + 1 AS i, CASE WHEN page_id % 11 = 0 THEN -1 WHEN page_id % 13 = 0 THEN 314572800 ELSE strlen(html) END AS size FROM pages),
+g AS (SELECT *, {sql.one(_KINDS)}[i] AS kind FROM f)
+SELECT page_id, kind, CASE WHEN size < 0 THEN 'cannot stat' WHEN page_id % 17 = 0 THEN 'not a regular file' WHEN size > {fixed.MAX_BYTES} THEN 'too large' WHEN kind IS NULL THEN 'unknown type'
+  WHEN page_id % 7 = 0 THEN 'permission denied' WHEN kind IN ('docx', 'xlsx') AND page_id % 5 <> 0 THEN 'not a zip container (likely encrypted Office file)' END AS reason FROM g"""
+)
 def kind_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, cases.KIND_INPUTS, "name string, size long, magic string, regular boolean").withColumn("kind", corpus.kind_of("name"))
-    return rows.select("name", "kind", corpus.skip_reason("kind", "size", F.col("magic").cast("binary"), "regular").alias("reason"))
+    """Pages as if they were files of all kinds, some broken in some way."""
+    page = F.col("page_id")
+    name = F.concat(F.lit("f"), page.cast("string"), F.get(F.array(*map(F.lit, _ENDS)), (page % len(_ENDS)).cast("int")))
+    size = F.when(page % 11 == 0, -1).when(page % 13 == 0, 300 * 1024 * 1024).otherwise(F.octet_length("html"))
+    magic = F.when(page % 7 != 0, F.when(page % 5 == 0, F.unhex(F.lit("504B0304"))).otherwise(F.left("html", F.lit(4)).cast("binary")))
+    files = table(spark, sf_dir, "pages").select("page_id", corpus.kind_of(name).alias("kind"), size.alias("size"), magic.alias("magic"), (page % 17 != 0).alias("regular"))
+    return files.select("page_id", "kind", corpus.skip_reason("kind", "size", "magic", "regular").alias("reason"))
 
 
 @registered(
@@ -231,15 +245,30 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", corpus.kind_of("url").alias("kind"), text.title_of("url").alias("title"))
 
 
-@registered("SELECT rel, family, rev, live FROM " + sql.values(cases.FAMILY_RESULTS, "rel, family, rev, live"))
+_REVISIONS = ["_r1.txt", "_rev2.txt", "-v3.txt", "_r4_WITHDRAWN.txt", ".txt", "_final.txt"]
+
+
+@registered(
+    """WITH f AS (SELECT doc_id, doc_id // 6 AS item, [1, 2, 3, 4, -1, -1][doc_id % 6 + 1] AS rev, doc_id % 6 <> 3 AS standing FROM documents),
+w AS (SELECT *, count(*) OVER (PARTITION BY item) AS n, max(rev) FILTER (WHERE rev >= 0 AND standing) OVER (PARTITION BY item) AS top FROM f)
+SELECT doc_id, 'reports/item' || item AS family, rev, standing AND NOT (n > 1 AND rev >= 0 AND coalesce(rev < top, false)) AS live FROM w"""
+)
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _cases(spark, [(r,) for r in cases.FAMILY_INPUTS], "rel string").withColumn("withdrawn", text.withdrawn_by_name("rel"))
-    return corpus.superseded(files).select("rel", text.family_key("rel").alias("family"), text.revision_number("rel").alias("rev"), (~F.col("withdrawn")).alias("live"))
+    """Documents as if each six were revisions of one report."""
+    rel = F.concat(F.lit("reports/item"), F.floor(F.col("doc_id") / 6).cast("string"), F.get(F.array(*map(F.lit, _REVISIONS)), (F.col("doc_id") % 6).cast("int")))
+    files = table(spark, sf_dir, "documents").select("doc_id", rel.alias("rel")).withColumn("withdrawn", text.withdrawn_by_name("rel"))
+    return corpus.superseded(files).select("doc_id", text.family_key("rel").alias("family"), text.revision_number("rel").cast("int").alias("rev"), (~F.col("withdrawn")).alias("live"))
+
+
+_MARKS = ["", "This revision is now withdrawn.", "status: obsolete", "What did the earlier revision say?", "value in r1 please", "value in r12 please"]
+_SAID = f"SELECT doc_id, {sql.one(_MARKS)}[doc_id % 6 + 1] || ' ' || coalesce(text, '') AS said FROM documents"
 
 
-@registered(rf"""SELECT id, regexp_matches(said, '(?i){fixed.WITHDRAWN_TEXT}') AS withdrawn, regexp_matches(said, '(?i){fixed.OLD_REVISION}') AS asks_old FROM {sql.values(cases.SAYINGS, "id, said")}""")
+@registered(f"SELECT doc_id, regexp_matches(left(said, {fixed.WITHDRAWN_CHARS}), '(?i){fixed.WITHDRAWN_TEXT}') AS withdrawn, regexp_matches(said, '(?i){fixed.OLD_REVISION}') AS asks_old FROM ({_SAID})")
 def withdrawn_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, cases.SAYINGS, "id int, said string").select("id", text.withdrawn_by_text("said").alias("withdrawn"), text.asks_for_old("said").alias("asks_old"))
+    """Documents under different openings."""
+    said = F.concat(F.get(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % 6).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.withdrawn_by_text(said).alias("withdrawn"), text.asks_for_old(said).alias("asks_old"))
 
 
 @registered("SELECT source, n FROM (SELECT source, count(*) FILTER (WHERE regexp_matches(left(text, 3000), '(?i)" + fixed.WITHDRAWN_TEXT + "')) AS n, count(*) AS all_n FROM documents GROUP BY source)")
@@ -247,38 +276,76 @@ def withdrawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(text.withdrawn_by_text("text")).alias("n"))
 
 
-@registered("SELECT given, cleaned FROM " + sql.values(cases.ANSWERS, "given, cleaned"))
+# --- replies and values -------------------------------------------------------------------------------------
+@registered("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN source WHEN 4 THEN lang ELSE '' END AS cleaned FROM documents")
 def answer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, [(g,) for g, _ in cases.ANSWERS], "given string").select("given", replies.clean_answer("given").alias("cleaned"))
+    """Answers built around columns of documents: with a label and a unit, in quotes, none, too long, with a remark."""
+    kind = F.col("doc_id") % 5
+    given = F.when(kind == 0, F.concat(F.lit("Answer: "), F.col("n_chars").cast("string"), F.lit(" mm"))).when(kind == 1, F.concat(F.lit('"'), "source", F.lit('"'))).when(kind == 2, F.lit("Not found"))
+    given = given.when(kind == 3, F.array_join(F.array_repeat("source", 9), " ")).otherwise(F.concat(F.lit("result: "), "lang", F.lit(" (see table)")))
+    return table(spark, sf_dir, "documents").select("doc_id", replies.clean_answer(given).alias("cleaned"))
 
 
-@registered("SELECT id, steps, answer, sources FROM " + sql.values([(i, s, a, "|".join(f)) for i, _, s, a, f in cases.REPLIES], "id, steps, answer, sources"))
+@registered(
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 's' ELSE '' END AS steps, CASE doc_id % 3 WHEN 0 THEN coalesce(left(text, 40), '') WHEN 1 THEN source ELSE '' END AS answer,
+CASE doc_id % 3 WHEN 0 THEN source || '.txt|' || lang || '.md' WHEN 1 THEN lang || '/a.txt' ELSE '' END AS sources FROM documents"""
+)
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, [(i, raw) for i, raw, *_ in cases.REPLIES], "id int, raw string").select("id", replies.parse_reply("raw").alias("r"))
-    return rows.select("id", "r.steps", "r.answer", F.array_join("r.sources", "|").alias("sources"))
+    """Replies built from documents: fenced JSON, broken JSON, none."""
+    kind = F.col("doc_id") % 3
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("s").alias("steps"), F.left("text", F.lit(40)).alias("answer"), F.array(F.concat("source", F.lit(".txt")), F.concat("lang", F.lit(".md"))).alias("sources"))), F.lit("\n```"))
+    broken = F.concat(F.lit('so "answer": "'), "source", F.lit('" and "'), "lang", F.lit('/a.txt"'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", replies.parse_reply(F.when(kind == 0, fenced).when(kind == 1, broken).otherwise(F.lit("nothing said"))).alias("r"))
+    return rows.select("doc_id", "r.steps", "r.answer", F.array_join("r.sources", "|").alias("sources"))
 
 
-@registered("SELECT value, body, hit FROM " + sql.values(cases.VALUE_MATCHES, "value, body, hit"))
+@registered("SELECT doc_id, doc_id % 4 IN (0, 3) AS hit FROM documents")
 def value_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, [(v, b) for v, b, _ in cases.VALUE_MATCHES], "value string, body string").select("value", "body", text.contains_value("body", "value").alias("hit"))
+    """A value of each document in other spellings, and as part of longer tokens."""
+    number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    value = F.concat(F.lit("AB"), number, F.lit("-"), "lang")
+    body = F.when(kind == 0, F.concat(F.lit("part ab"), number, F.lit(" "), F.upper("lang"), F.lit(" here"))).when(kind == 1, F.concat(F.lit("part"), value)).when(kind == 2, F.concat(value, F.lit("x"))).otherwise(F.concat(F.lower(value), F.lit(".")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.contains_value(body, value).alias("hit"))
+
+
+#: Words that documents are asked for.
+WORDS = ["the", "und", "avec", "que", "is", "BY-NC"]
 
 
 @registered(
-    f"""WITH v AS {sql.values([(v,) for v in cases.VALUES], "value")}
+    f"""WITH v AS (SELECT unnest({sql.one(WORDS)}) AS value)
 SELECT value, count(*) AS documents, min(doc_id) AS first_doc FROM v JOIN documents ON regexp_matches(text, '(?i)(?:^|[^0-9A-Za-z])' || value || '(?:[^0-9A-Za-z]|$)') GROUP BY value"""
 )
 def value_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each of some words stands as a whole token."""
-    asked = _cases(spark, [(v,) for v in cases.VALUES], "value string").withColumn("pattern", text.value_pattern("value"))
+    asked = spark.createDataFrame([(v,) for v in WORDS], "value string").withColumn("pattern", text.value_pattern("value"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = docs.join(asked, F.rlike("text", "pattern"))
     return hits.groupBy("value").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-@registered("SELECT raw, kind, cleaned FROM " + sql.values(cases.RECOGNISED, "raw, kind, cleaned"))
+@registered("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/' || source || '.txt' WHEN 1 THEN 'b/' || source || '.txt|c/' || lang || '.csv' WHEN 2 THEN 'b/' || source || '.txt' ELSE '' END AS resolved FROM documents")
+def names_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files by base name, by path, by a path beyond the corpus, and of no file."""
+    path = lambda folder, name, end: F.concat(F.lit(folder), name, F.lit(end))
+    kind = F.col("doc_id") % 4
+    names = F.when(kind == 0, F.array(path("", "source", ".txt"))).when(kind == 1, F.array(path("b/", "source", ".txt"), path("./c/", "lang", ".csv"))).when(kind == 2, F.array(path("/mnt/app/corpus/b/", "source", ".txt"))).otherwise(F.array(F.lit("none.bin")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", names.alias("names"), F.array(path("a/", "source", ".txt"), path("b/", "source", ".txt"), path("c/", "lang", ".csv")).alias("allowed"))
+    return rows.select("doc_id", F.array_join(citations.resolve_names("names", "allowed"), "|").alias("resolved"))
+
+
+# --- transcriptions ------------------------------------------------------------------------------------------
+@registered(
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'US_PLATE' WHEN 1 THEN 'CN_PLATE' ELSE 'SIGN' END AS kind,
+CASE c_custkey % 3 WHEN 0 THEN upper(left(c_mktsegment, 3)) || c_custkey WHEN 1 THEN '京A·' || c_custkey ELSE upper(c_name) END AS cleaned FROM customer"""
+)
 def ocr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, [(r,) for r, _, _ in cases.RECOGNISED], "raw string").withColumn("kind", recognition.reply_kind("raw"))
-    return rows.select("raw", "kind", recognition.clean_recognised(recognition.reply_text("raw"), "kind").alias("cleaned"))
+    """Customers as recognised plates and signs."""
+    kind, number = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    us = F.concat(F.lit("TYPE: US_PLATE\nTEXT: Texas "), F.lower(F.left("c_mktsegment", F.lit(3))), number)
+    raw = F.when(kind == 0, us).when(kind == 1, F.concat(F.lit("**TYPE**: CN_PLATE\n**TEXT**: 京A・"), number)).otherwise(F.concat(F.lit("TYPE: SIGN\nTEXT: x\nTEXT: “"), "c_name", F.lit("”")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")).withColumn("kind", recognition.reply_kind("raw"))
+    return rows.select("c_custkey", "kind", recognition.clean_recognised(recognition.reply_text("raw"), "kind").alias("cleaned"))
 
 
 @registered(
@@ -291,22 +358,47 @@ def event_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.exp(F.avg(F.log(p))), 3).alias("confidence"))
 
 
-@registered("SELECT id, confidence, width, height FROM " + sql.values([(i, c, w, h) for i, _, _, _, c, w, h in cases.IMAGES], "id, confidence, width, height"))
+_SIDE = "CASE WHEN greatest(w, h) > 1600 THEN greatest(1, round_even({0} * (1600.0::DOUBLE / greatest(w, h)), 0)) WHEN greatest(w, h) < 640 THEN greatest(1, round_even({0} * (640.0::DOUBLE / greatest(w, h)), 0)) ELSE {0} END::INT"
+
+
+@registered(
+    f"""WITH e AS (SELECT event_id, least(1.0, abs(value) / 1000) AS p, (event_id % 4999 + 1)::INT AS w, (event_id % 2999 + 1)::INT AS h FROM events)
+SELECT event_id, CASE WHEN p IS NULL THEN 0.0 ELSE round_even(exp((ln(greatest(p, 1e-9)) + ln(0.5::DOUBLE)) / 2), 4) END AS confidence, {_SIDE.format("w")} AS width, {_SIDE.format("h")} AS height FROM e"""
+)
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, [r[:4] for r in cases.IMAGES], "id int, p array<double>, w int, h int")
-    return rows.select("id", recognition.confidence("p").alias("confidence"), recognition.model_size("w", "h").alias("s")).select("id", "confidence", "s.width", "s.height")
+    """Events as images with two token probabilities (none without a value) and a size."""
+    p, size = F.least(F.lit(1.0), F.abs("value") / 1000), lambda most: (F.col("event_id") % most + 1).cast("int")
+    probabilities = F.when(p.isNull(), F.array().cast("array<double>")).otherwise(F.array(p, F.lit(0.5)))
+    rows = table(spark, sf_dir, "events").select("event_id", recognition.confidence(probabilities).alias("confidence"), recognition.model_size(size(4999), size(2999)).alias("s"))
+    return rows.select("event_id", "confidence", "s.width", "s.height")
 
 
-@registered("SELECT points, most, slowest FROM " + sql.values([cases.SCORE], "points, most, slowest"))
+@registered(
+    """WITH d AS (SELECT source, doc_id, text FROM documents)
+SELECT 20 * (SELECT count(*) FROM d WHERE doc_id % 3 = 0 AND doc_id % 10 <> 0 AND text IS NOT NULL) AS points, 20 * (SELECT count(*) FROM d) AS most, (SELECT coalesce(max(doc_id % 7 / 2.0::DOUBLE), 0.0) FROM d WHERE doc_id % 10 <> 0) AS slowest"""
+)
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = _cases(spark, cases.EXPECTED, "name string, text string")
-    actual = _cases(spark, cases.ACTUAL, "name string, text string, seconds double, present boolean")
-    return score.total_score(expected, score.compared(expected, actual))
+    """Documents' beginnings as expected transcriptions; a third comes back in another spelling, a third wrong, a third not."""
+    start, number = F.left("text", F.lit(20)), F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    got = F.when(number % 3 == 0, F.concat(F.lit("- "), F.upper(start))).when(number % 3 == 1, F.concat(start, F.lit("x")))
+    expected = docs.select(number.alias("name"), start.alias("text"))
+    return score.total_score(expected, score.compared(expected, docs.select(number.alias("name"), got.alias("text"), ((number % 7) / 2).alias("seconds"), (number % 10 != 0).alias("present"))))
 
 
-@registered("SELECT path, n, qid, question FROM " + sql.values(cases.QUESTION_RESULTS, "path, n, qid, question"))
+# --- questions and results -------------------------------------------------------------------------------------
+@registered(
+    """SELECT item_id, 1 AS n, item_id::VARCHAR AS qid, text AS question FROM benchmark WHERE item_id % 3 < 2
+UNION ALL SELECT item_id, 1, item_id || '_1', text FROM benchmark WHERE item_id % 3 = 2 UNION ALL SELECT item_id, 2, 'k' || item_id, text FROM benchmark WHERE item_id % 3 = 2"""
+)
 def question_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.parse_questions(_cases(spark, cases.QUESTION_FILES, "path string, content string"))
+    """Benchmark items as plain files, objects and lists."""
+    item, kind = F.col("item_id"), F.col("item_id") % 3
+    path = F.concat(F.lit("q/"), item.cast("string"), F.when(kind == 0, ".txt").otherwise(".json"))
+    one = F.to_json(F.struct(item.alias("id"), F.col("text").alias("query")))
+    several = F.concat(F.lit("["), F.to_json(F.struct("text")), F.lit(", "), F.to_json(F.struct(F.concat(F.lit("k"), item.cast("string")).alias("qid"), F.col("text"))), F.lit(", 3]"))
+    files = table(spark, sf_dir, "benchmark").select(path.alias("path"), F.when(kind == 0, F.col("text")).when(kind == 1, one).otherwise(several).alias("content"))
+    return questions.parse_questions(files).select(text.without_extension(text.base_name("path")).cast("long").alias("item_id"), F.col("n").cast("int").alias("n"), "qid", "question")
 
 
 @registered("SELECT conv_id::VARCHAR AS qid, turn AS n, text AS question FROM conversations WHERE role = 'user'")
@@ -317,56 +409,60 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.parse_questions(files).select("qid", text.without_extension(text.base_name("path")).cast("long").alias("n"), "question")
 
 
-@registered("SELECT name, body FROM " + sql.values(cases.WRITTEN, "name, body"))
+@registered(
+    """SELECT 'item_' || item_id || '_x_output.json' AS name, '{"answer":' || CASE WHEN item_id % 4 = 0 THEN '""' ELSE to_json(left(text, 30))::VARCHAR END
+|| ',"citations":[' || CASE WHEN item_id % 4 = 0 THEN '' ELSE '"doc/' || item_id || '.txt"' END || '],"confidence":' || CASE WHEN item_id % 4 = 0 THEN '0.0' ELSE '0.9' END || '}' AS body FROM benchmark"""
+)
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, cases.TO_WRITE, "qid string, answer string, citations array<string>, confidence double")
+    """Benchmark items as results, a quarter of them without an answer."""
+    number, none = F.col("item_id").cast("string"), F.col("item_id") % 4 == 0
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), number, F.lit("/x")).alias("qid"), F.when(~none, F.left("text", F.lit(30))).alias("answer"), F.array(F.concat(F.lit("doc/"), number, F.lit(".txt"))).alias("citations"), F.when(none, 0.0).otherwise(fixed.CONFIDENT).alias("confidence"))
     return results.answer_json(rows)
 
 
-# --- a small corpus, end to end ----------------------------------------------------------------------------
-def small_index(spark: SparkSession) -> index.Index:
-    rows = _cases(spark, [(rel, i, "text", None, [(unit, loc, row) for unit, loc, row in units]) for i, (rel, units) in enumerate(cases.CORPUS)], "rel string, file_ord long, kind string, skip string, units array<struct<text:string,loc:string,is_row:boolean>>")
-    built = index.build_index(corpus.file_records(rows))
-    return replace(built, **{name: staged(getattr(built, name)) for name in index.Index.TABLES if getattr(built, name) is not None})
+# --- the whole search, over documents; checked by hand on a small corpus in the tests ------------------------------
+_INDEXES: dict[tuple[str, str], index.Index] = {}
 
 
-def small_questions(spark: SparkSession) -> DataFrame:
-    return _cases(spark, [(q, said) for q, said, *_ in cases.QUESTIONS], "qid string, question string")
+def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents, its tables written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = index.staged_index(corpus.documents_as_files(table(spark, sf_dir, "documents")))
+    return _INDEXES[key]
 
 
-@registered("SELECT rel, withdrawn FROM " + sql.values(cases.CORPUS_FLAGS, "rel, withdrawn"))
-def small_corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_index(spark).files.select("rel", "withdrawn")
+def benchmark_search(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame, DataFrame]:
+    held, asked = document_index(spark, sf_dir), benchmark_questions(spark, sf_dir)
+    return held, asked, retrieve.search(held, asked)
 
 
-@registered("SELECT qid, hop, id FROM " + sql.values(cases.BRIDGES, "qid, hop, id"))
-def bridge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, asked = small_index(spark), small_questions(spark)
-    _, ranking = retrieve.first_ranking(held, asked)
-    return retrieve.bridge_identifiers(held, asked, ranking).select("qid", F.col("hop").cast("int").alias("hop"), "id")
+@registered()
+def search_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of the whole search for each benchmark item, bridge chunks spliced in."""
+    held, _, found = benchmark_search(spark, sf_dir)
+    return found.join(held.chunks, "chunk_id").select("qid", "pos", "rel", "loc")
 
 
-@registered("SELECT qid, pos, rel, loc FROM " + sql.values(cases.RANKING, "qid, pos, rel, loc"))
-def search_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first places of the whole search, bridge chunks spliced in."""
-    held = small_index(spark)
-    found = retrieve.search(held, small_questions(spark)).join(held.chunks, "chunk_id")
-    return found.where(F.col("pos") < 4).select("qid", F.col("pos").cast("int").alias("pos"), "rel", "loc")
+@registered()
+def bridge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers that the best chunks of each benchmark item lead on to."""
+    held, asked = document_index(spark, sf_dir), benchmark_questions(spark, sf_dir)
+    return retrieve.bridge_identifiers(held, asked, retrieve.first_ranking(held, asked)[1]).select("qid", "hop", "id")
 
 
-@registered("SELECT qid, citations FROM " + sql.values([(q, "|".join(c)) for q, *_, c in cases.CITED], "qid, citations"))
-def citations_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of answers on the small corpus; an answer that no shown file holds has no row."""
-    files = _cases(spark, [(rel, "\n".join(u[0] for u in units)) for rel, units in cases.CORPUS], "rel string, text string")
-    chunks = _cases(spark, [((i << 24) + k, rel, u[0]) for i, (rel, units) in enumerate(cases.CORPUS) for k, u in enumerate(units)], "chunk_id long, rel string, text string")
-    ids = _cases(spark, cases.FILE_IDS, "rel string, id string")
-    held = index.Index(files, chunks, None, None, None, ids, index.identifier_frequencies(ids))
-    ranking = _cases(spark, [("q1", 0, 0)], "qid string, chunk_id long, pos int")
-    answers = _cases(spark, [(q, said, a, named, shown) for q, said, a, named, shown, _ in cases.CITED] + cases.UNCITED, "qid string, question string, answer string, named array<string>, shown array<string>")
-    return citations.choose_citations(held, answers, ranking).select("qid", F.array_join("citations", "|").alias("citations"))
+@registered()
+def context_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of each benchmark item: its length, a digest, and the files in order."""
+    packed = context.pack_context(*benchmark_search(spark, sf_dir))
+    return packed.select("qid", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("digest"), F.array_join("files", "|").alias("files"))
 
 
-@registered("SELECT id, resolved FROM " + sql.values([(i, "|".join(r)) for i, _, r in cases.NAMES], "id, resolved"))
-def names_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, [(i, n) for i, n, _ in cases.NAMES], "id int, names array<string>").withColumn("allowed", F.array(*map(F.lit, cases.ALLOWED)))
-    return rows.select("id", F.array_join(citations.resolve_names("names", "allowed"), "|").alias("resolved"))
+@registered()
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question to citations with a reader that repeats the fourth to sixth word of the item and names no file."""
+    held, asked = document_index(spark, sf_dir), benchmark_questions(spark, sf_dir)
+    said = F.array_join(F.slice(F.split("question", " "), 4, 3), " ")
+    reader = Recorded(reply_table=asked.select("qid", F.to_json(F.struct(said.alias("answer"))).alias("reply")))
+    return answer.answer(held, asked, reader).select("qid", "answer", F.array_join("citations", "|").alias("citations"), "confidence")

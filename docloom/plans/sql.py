@@ -46,22 +46,13 @@ def norm_value(value: str) -> str:
     return rf"regexp_replace(upper({value}), '[\s\-.·_]', '', 'g')"
 
 
-def values(rows: list[tuple], names: str) -> str:
-    def one(v: object) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        if isinstance(v, int):
-            return repr(v)
-        if isinstance(v, float):
-            return f"{v!r}::DOUBLE"
-        if isinstance(v, (list, tuple)):
-            return "[" + ", ".join(map(one, v)) + "]"
-        return "'" + str(v).replace("'", "''") + "'"
-
-    listed = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-    return f"(SELECT * FROM (VALUES {listed}) AS v({names}))"
+def one(v: object) -> str:
+    """A literal."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(one, v)) + "]"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
 def bm25(tf: str, totals: str, idf: str, asked: str, key: str) -> str:

@@ -25,11 +25,20 @@ def duck():
     return connection
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+#: Whole searches, which tests/test_cases.py holds against cases worked out by hand.
+WITHOUT_SQL = {"search_ranking", "bridge_expand", "context_packed", "answers"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_whole_searches_run(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     found = duck.execute(ORACLES[name])

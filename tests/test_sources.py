@@ -12,10 +12,10 @@ from docloom import cli, models
 from docloom.operators import answer as answering
 from docloom.functions import recognition
 from docloom.operators import corpus, index, transcribe
-from docloom.plans import cases
 from docloom.sources import images, index_store, parsers, questions, results
 from docloom.sources import corpus as folder
 from docloom.streaming import ingest
+from tests import cases
 
 
 @pytest.fixture
