@@ -37,6 +37,34 @@ PICK_CHUNK_CHARS, PICK_FILE_CHARS = 600, 1_200
 CONFIDENT = 0.9
 POINTS = 20
 
+# What stands before a question when it is embedded.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+# Patterns of blanks and line ends, of terms, and of identifiers in upper-case text.
+BLANK = r"[\s\x1c-\x1f\x85]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+TOKEN = r"[a-z0-9]+(?:[-_./#][a-z0-9]+)*#?"
+IDENTIFIER = (
+    r"(?U)\b(?:[A-Z][A-Z0-9]*(?:[-_][A-Z0-9#]+)+#?"
+    r"|[A-Z]{1,4}\d{2,}[A-Z0-9]*"
+    r"|0x[0-9A-Fa-f]+"
+    r"|v?\d+\.\d+(?:\.\d+)+)(?![A-Za-z0-9])"
+)
+
+# Patterns of file names: extension, what separates words, where a word may begin and end.
+EXTENSION = r"(?<=[^/.])(\.[^./]*)$"
+NAME_SIGNS = r"[_\-.]+"
+NAME_EDGE, NAME_END = r"(?:^|[_\-. ])", r"(?=$|[_\-. ])"
+
+# Patterns of model replies: fences, an answer and file names in what is no JSON, labels, remarks.
+FENCE = r"(?m)^```(?:json)?|```$"
+QUOTED_ANSWER = r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)"'
+QUOTED_FILE = r'"([^"]+\.[A-Za-z0-9]{1,5})"'
+NAMED_FILE = r"(?U)[\w./\-]+\.\w{1,5}"
+ANSWER_LABEL = r"(?iU)^(?:answer|value|result)\s*[:：]\s*"
+REMARK = r"(?U)\s*\([^)]*\)$"
+NUMBER = r"[$€£]?\s*([-+]?\d[\d,]*(?:\.\d+)?)\s*"
+
 # What marks a document as withdrawn, and a question as one about old revisions.
 WITHDRAWN_NAME = r"withdrawn|superseded|obsolete|deprecated|retired"
 WITHDRAWN_TEXT = (

@@ -12,17 +12,8 @@ from docloom.functions import fixed
 
 ColumnLike = Column | str
 
-#: Blanks as ``str.strip`` and ``\s`` understand them.
-BLANK = r"[\s\x1c-\x1f\x85]"
-#: Line ends as ``splitlines`` understands them.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-TOKEN = r"[a-z0-9]+(?:[-_./#][a-z0-9]+)*#?"
-IDENTIFIER = (
-    r"(?U)\b(?:[A-Z][A-Z0-9]*(?:[-_][A-Z0-9#]+)+#?"
-    r"|[A-Z]{1,4}\d{2,}[A-Z0-9]*"
-    r"|0x[0-9A-Fa-f]+"
-    r"|v?\d+\.\d+(?:\.\d+)+)(?![A-Za-z0-9])"
-)
+#: Blanks as ``str.strip`` and ``\\s`` understand them.
+BLANK = fixed.BLANK
 
 
 def column(c: ColumnLike) -> Column:
@@ -94,7 +85,7 @@ def _with_parts(token: Column) -> Column:
 
 def words(c: ColumnLike) -> Column:
     """Tokens of a text but stop words, with repeats; each stands for the terms that :func:`terms_of` gives."""
-    return F.filter(F.regexp_extract_all(F.lower(known(c)), F.lit(TOKEN), F.lit(0)), lambda t: ~is_stop(t))
+    return F.filter(F.regexp_extract_all(F.lower(known(c)), F.lit(fixed.TOKEN), F.lit(0)), lambda t: ~is_stop(t))
 
 
 def terms_of(token: ColumnLike) -> Column:
@@ -115,7 +106,7 @@ def tokens(c: ColumnLike) -> Column:
 
 def identifiers(c: ColumnLike) -> Column:
     """Identifiers of the upper-cased text, in order, with repeats."""
-    return F.regexp_extract_all(F.upper(known(c)), F.lit(IDENTIFIER), F.lit(0))
+    return F.regexp_extract_all(F.upper(known(c)), F.lit(fixed.IDENTIFIER), F.lit(0))
 
 
 def value_pattern(c: ColumnLike) -> Column:
@@ -143,7 +134,7 @@ def base_name(c: ColumnLike) -> Column:
 
 def without_extension(c: ColumnLike) -> Column:
     """A path without its last extension; a name's leading dots are no extension."""
-    return F.regexp_replace(known(c), r"(?<=[^/.])(\.[^./]*)$", "")
+    return F.regexp_replace(known(c), fixed.EXTENSION, "")
 
 
 def extension(c: ColumnLike) -> Column:
@@ -152,7 +143,7 @@ def extension(c: ColumnLike) -> Column:
 
 
 def title_of(path: ColumnLike) -> Column:
-    return F.regexp_replace(without_extension(path), r"[_\-.]+", " ")
+    return F.regexp_replace(without_extension(path), fixed.NAME_SIGNS, " ")
 
 
 def family_key(path: ColumnLike) -> Column:
@@ -161,13 +152,13 @@ def family_key(path: ColumnLike) -> Column:
     folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     name = without_extension(base_name(path))
     name = F.regexp_replace(name, rf"(?:^|(?<=[_\-. ]))(?:{fixed.LIFECYCLE})(?=$|[_\-. ])", "")
-    name = F.regexp_replace(name, rf"(?U)(?:^|[_\-. ])(?:{fixed.REVISION_WORDS})[_\-. ]?\d+[a-z]?(?=$|[_\-. ])", "")
+    name = F.regexp_replace(name, rf"(?U){fixed.NAME_EDGE}(?:{fixed.REVISION_WORDS})[_\-. ]?\d+[a-z]?{fixed.NAME_END}", "")
     return F.concat(folder, F.lit("/"), F.regexp_replace(F.regexp_replace(name, r"[_\-. ]+", "_"), "^_+|_+$", ""))
 
 
 def revision_number(path: ColumnLike) -> Column:
     """The number of the first revision mark of the name, or -1."""
-    digits = F.regexp_extract(F.lower(base_name(path)), rf"(?:^|[_\-. ])(?:{fixed.REVISION_WORDS})[_\-. ]?([0-9]+)", 1)
+    digits = F.regexp_extract(F.lower(base_name(path)), rf"{fixed.NAME_EDGE}(?:{fixed.REVISION_WORDS})[_\-. ]?([0-9]+)", 1)
     return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(-1).cast("bigint"))
 
 
@@ -186,5 +177,5 @@ def asks_for_old(question: ColumnLike) -> Column:
 
 def lines(c: ColumnLike) -> Column:
     """Lines as ``splitlines`` gives them: no empty one after a final line end, none of an empty text."""
-    split = F.split(known(c), LINE_END)
+    split = F.split(known(c), fixed.LINE_END)
     return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import fixed, recognition, replies, text
-from docloom.models import Recorded
-from docloom.operators import answer, citations, context, corpus, index, retrieve, score
+from docloom.models import Recorded, chunk_text
+from docloom.operators import answer, citations, context, corpus, index, pick, retrieve, score
 from docloom.plans import sql
 from docloom.sources import questions, results
 
@@ -161,6 +161,23 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(number.alias("doc_id"), (F.col("chunk_id") - F.shiftleft(number, 24)).alias("place"), "loc", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@registered(f"WITH {_CHUNKS} SELECT doc_id, place, left('doc/' || doc_id || ' | ' || loc || chr(10) || body, {fixed.EMBED_CHARS}) AS embedded FROM chunks")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each chunk an embedder gets."""
+    parts = corpus.chunks(corpus.documents_as_files(table(spark, sf_dir, "documents")))
+    number = F.shiftright("chunk_id", 24)
+    return parts.select(number.alias("doc_id"), (F.col("chunk_id") - F.shiftleft(number, 24)).alias("place"), chunk_text().alias("embedded"))
+
+
+@registered(f"WITH {_CHUNKS} SELECT doc_id, '### doc/' || doc_id || '.txt' || chr(10) || left(string_agg(left(body, {fixed.PICK_CHUNK_CHARS}), chr(10) ORDER BY place), {fixed.PICK_FILE_CHARS}) AS part FROM chunks GROUP BY doc_id")
+def pick_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a picker's listing shows it."""
+    parts = corpus.chunks(corpus.documents_as_files(table(spark, sf_dir, "documents")))
+    held = parts.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("held"))
+    number = F.shiftright(F.get("held", F.lit(0))["chunk_id"], 24)
+    return held.select(number.alias("doc_id"), pick.listing_part("rel", F.transform("held", lambda h: h["text"])).alias("part"))
+
+
 @registered(
     f"""{_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores),
 q AS (SELECT qid, list({{'id': doc_id, 'n': length(text)}} ORDER BY rank) AS docs FROM ranked JOIN documents USING (doc_id) WHERE rank <= 200 GROUP BY qid),

@@ -14,19 +14,20 @@ from docloom.operators.index import Index, build_index
 from docloom.sources.corpus import PAGES, read_corpus, rendered_pages, same_signature, signature
 
 
-def save_index(index: Index, path: str) -> Index:
-    """Writes every table as Parquet, terms sorted so that a query's terms skip most row groups, and reads them back."""
-    spark = index.files.sparkSession
-    kept = {}
-    for name in Index.TABLES:
-        table = getattr(index, name)
-        if table is None:
-            continue
+def save_index(files: DataFrame, path: str) -> Index:
+    """The index of file records, every table written to ``path`` and made from those written before.
+
+    Term tables are sorted so that a query's terms skip most row groups.
+    """
+    spark = files.sparkSession
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
         if name in ("tf", "terms"):
             table = table.repartitionByRange("term").sortWithinPartitions("term")
         table.write.mode("overwrite").parquet(f"{path}/{name}")
-        kept[name] = spark.read.parquet(f"{path}/{name}")
-    return replace(index, **kept)
+        return spark.read.parquet(f"{path}/{name}")
+
+    return build_index(files, keep=keep)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -88,7 +89,7 @@ def ensure_index(spark: SparkSession, root: str, path: str, transcriber: Transcr
     parsed = read_corpus(spark, root)
     parsed.write.mode("overwrite").parquet(f"{path}/parsed")
     parsed = _transcribed(spark.read.parquet(f"{path}/parsed"), root, path, transcriber)
-    index = save_index(build_index(corpus.file_records(parsed)), path)
+    index = save_index(corpus.file_records(parsed), path)
     if embedder is not None:
         embedder.chunks(index.chunks).write.mode("overwrite").parquet(f"{path}/vectors")
         index = replace(index, vectors=spark.read.parquet(f"{path}/vectors"))
