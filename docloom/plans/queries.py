@@ -82,7 +82,7 @@ _DENSE = "dense AS (SELECT c.qid, e.vec_id, list_inner_product(e.embedding::DOUB
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     held = vectors.select("vec_id", F.col("embedding").alias("vector"))
-    scores = retrieve.dense_scores(held, label_centres(vectors), "vec_id")
+    scores = retrieve.dense_best(held, label_centres(vectors), "vec_id", fixed.CANDIDATES)
     order = Window.partitionBy("qid").orderBy(*retrieve.best_first("score", "vec_id"))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fixed.CANDIDATES).select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
 
@@ -105,7 +105,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = asked.select("qid", F.pmod("qid", F.lit(10)).alias("label")).join(centres, "label").select("qid", "query_vector")
     held = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     scores = index.bm25(tf, idf, totals, index.query_terms(asked), "doc_id")
-    both = retrieve.ranked(scores, "doc_id", fixed.CANDIDATES, "bm25", 1.0).unionByName(retrieve.ranked(retrieve.dense_scores(held, wanted, "doc_id"), "doc_id", fixed.CANDIDATES, "dense", 1.0))
+    both = retrieve.ranked(scores, "doc_id", fixed.CANDIDATES, "bm25", 1.0).unionByName(retrieve.ranked(retrieve.dense_best(held, wanted, "doc_id", fixed.CANDIDATES), "doc_id", fixed.CANDIDATES, "dense", 1.0))
     order = Window.partitionBy("qid").orderBy(*retrieve.best_first("fused", "doc_id"))
     return retrieve.fused(both, "doc_id").select("qid", "doc_id", F.round("fused", 6).alias("fused"), F.row_number().over(order).alias("place"))
 
