@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import byte_blocks, materialise, tidy
+from docloom.llm.common import byte_blocks, discard, materialise, tidy
 from docloom.llm.packing import byte_bpe
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -175,6 +175,7 @@ def chat_windows(conversations: DataFrame, vocabulary: tuple[str, str], budget:
     placed = _with_prefixes(counted).withColumn("chunk", F.floor(F.col("before") / cell))
     columns = ["c", "conv_id", "pos", "role", "at", "formatted", "tokens"]
     placed = materialise(placed.select(*columns, "chunk", "before"), "placed")
+    discard(counted)
 
     led = (F.col("pos") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget.largest_system)
     chunks = placed.select("c", "chunk").distinct()

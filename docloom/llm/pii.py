@@ -178,8 +178,9 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     text = text.replace("İ", "i").lower()  # the one letter that lower case makes longer
     for run in _SPELLED.finditer(text):
-        if not re.search(_NAME, run[0]):
-            continue
+        names = [m for m in _SPELLED_WORD.finditer(text, *run.span()) if m[3] in SPELLED]
+        if not names or len(names) == 1 and not names[0][2] and (names[0].start() == run.start() or names[0].end() == run.end()):
+            continue  # one such word before or behind digits is rather an article
         for m in _SPELLED_WORD.finditer(text, *run.span()):
             plus, times, name, dot, dash, gap = m.groups()
             if times or plus or dot or dash or name in SPELLED:

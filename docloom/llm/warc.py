@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import materialise, tidy
+from docloom.llm.common import discard, materialise, tidy
 
 FAN_OUT = 16
 RECORDS_PER_FILE = 1_000
@@ -181,12 +181,16 @@ def audit(primary: DataFrame, replica: DataFrame, fan_out: int = FAN_OUT) -> tup
             if frontier is not None:
                 nodes = nodes.join(frontier.select(F.col("file").alias("up_file"), F.col("key").alias("up_key")), ["up_file", "up_key"], "left_semi")
             sides.append(nodes.select("file", "key", F.col("digest").alias(name), F.col("seq").alias(f"seq_{name}")))
-        both = materialise(sides[0].join(sides[1], ["file", "key"], "full_outer"), "both")
+        above, both = both, materialise(sides[0].join(sides[1], ["file", "key"], "full_outer"), "both")
+        if above is not None:
+            discard(above)
         frontier = both.where(~F.col("x").eqNullSafe(F.col("y")))
         counts.append(frontier.count())
-        if not counts[-1] and (level or depth == 0):
-            return both.where("false").select(F.col("file").alias("warc_file"), F.col("seq_x").alias("seq"), F.lit("").alias("verdict")), counts
-    return materialise(_verdicts(both), "verdicts"), counts
+        if not counts[-1]:
+            break
+    verdicts = materialise(_verdicts(both if counts[-1] else both.where("false")), "verdicts")
+    discard(both, *first, *second)
+    return verdicts, counts
 
 
 def decayed(records: DataFrame, one_in: int = 200) -> DataFrame:

@@ -197,4 +197,5 @@ def test_further_disguises():
     assert added("+1 202 double three 5 0147 now") == [("phone", "+1 202 double three 5 0147")]
     assert added("see 192 dot 168 dot 0 dot 1.") == [("ip", "192 dot 168 dot 0 dot 1")]
     assert added("mail jane [arroba] example punto com") == [("email", "jane [arroba] example punto com")]
+    assert added("+1 (848) 555-1373 Un jour") == [] and added("call +1 202 555 01 four seven") == [("phone", "+1 202 555 01 four seven")]
     assert added("(a) first, x(a) y, f(a)b") == [] and added("3 point 5 and 2 dot 1") == []
