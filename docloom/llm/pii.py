@@ -149,6 +149,8 @@ _BARE = tuple(
     for ats, dot in _AT_DOT
 )
 _BARE_DOT = re.compile(r"[ _](?:dot|punkt|point|punto)[ _]", re.IGNORECASE)
+#: Words for dots in the name before a disguised at sign.
+_BEFORE_AT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9-]{1,40})((?:[ _](?:dot|punkt|point|punto)[ _][A-Za-z0-9-]{1,40}){1,3})$", re.IGNORECASE)
 #: Words for dots behind an at sign that stands as such.
 _AFTER_AT = re.compile(r"(?<=@)[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}((?:[ _](?:dot|punkt|point|punto)[ _][A-Za-z0-9-]{2,63}){0,2}[ _](?:dot|punkt|point|punto)[ _]([A-Za-z]{2,63}))(?![A-Za-z0-9])", re.IGNORECASE)
 #: Words that are no host of an address, and words that are no top-level domain.
@@ -203,6 +205,10 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
             if m[2].lower() not in _NO_HOST and m[4].lower() not in _NO_END:
                 edits.append((*m.span(1), "@"))
                 edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, *m.span(3))]
+    for at in [start for start, _, new in edits if new == "@"]:
+        low = max(0, at - 170)
+        if (m := _BEFORE_AT.search(text[low:at])) and m[1].lower() not in _NO_HOST:
+            edits += [(low + d.start(), low + d.end(), ".") for d in _BARE_DOT.finditer(text[low:at], *m.span(2))]
     out: list[tuple[int, int, str]] = []
     for edit in sorted(edits):
         if not out or edit[0] >= out[-1][1]:

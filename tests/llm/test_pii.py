@@ -195,6 +195,8 @@ def test_many_spans_take_no_square_of_time():
 
 def test_further_disguises():
     assert added("+1 202 double three 5 0147 now") == [("phone", "+1 202 double three 5 0147")]
+    assert added("mail p dot doe at example dot com") == [("email", "p dot doe at example dot com")]
+    assert added("mail jane dot q dot doe [at] mail (dot) com") == [("email", "jane dot q dot doe [at] mail (dot) com")]
     assert added("see 192 dot 168 dot 0 dot 1.") == [("ip", "192 dot 168 dot 0 dot 1")]
     assert added("mail jane [arroba] example punto com") == [("email", "jane [arroba] example punto com")]
     assert added("+1 (848) 555-1373 Un jour") == [] and added("call +1 202 555 01 four seven") == [("phone", "+1 202 555 01 four seven")]
