@@ -104,3 +104,51 @@ def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
         out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, (90, 100)).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None) == expected
         assert [(r.n_shingles, r.component_id) for r in out if r.doc_id is None] == [(58, None)]
+
+
+def test_linking_sets_keep_a_tile_when_each_leaves_its_most_frequent():
+    """The rule of the frequent tiles, on sets with much in common."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    pairs = 0
+    for num, den in ((90, 100), (80, 100)):
+        for size in (9, 40, 130, 300):
+            common = rng.integers(0, 2**63, size).astype(np.uint64)
+            sets = []
+            for _ in range(40):
+                own = rng.integers(0, 2**63, int(rng.integers(0, max(2, size // 3)))).astype(np.uint64)
+                sets.append(np.unique(np.concatenate((rng.permutation(common)[: int(rng.integers(size * 3 // 4, size + 1))], own))))
+            found = [ngram_join.tile_keys(s, num, den) for s in sets]
+            count = {}
+            for keys, _ in found:
+                for key in keys.tolist():
+                    count[key] = count.get(key, 0) + 1
+            kept = []
+            for keys, spare in found:
+                held = set()
+                for parity in (0, 1):
+                    held |= set(sorted((k for k in keys.tolist() if k % 2 == parity and count[k] > 1), key=lambda k: (-count[k], k))[spare[parity] :])
+                kept.append(held)
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    shared = len(np.intersect1d(a, sets[j]))
+                    if not np.array_equal(a, sets[j]) and den * shared >= num * (len(a) + len(sets[j]) - shared):
+                        pairs += 1
+                        assert kept[i] & kept[j]
+    assert pairs > 100
+
+
+def test_signatures_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 3_000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((rng.permutation(a)[int(rng.integers(0, n // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64))))
+        x, y = (np.frombuffer(ngram_join.bitmap(s), np.uint8) for s in (a, b))
+        width = min(len(x), len(y))
+        shared = len(np.intersect1d(a, b))
+        fits, most = ngram_join.may_link(len(a), len(b), ngram_join.folded(x, width), ngram_join.folded(y, width), 90, 100)
+        assert most >= shared and (fits or 100 * shared < 90 * (len(a) + len(b) - shared))
