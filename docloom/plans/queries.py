@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 from docloom.functions import fixed, recognition, replies, text
 from docloom.models import Recorded, chunk_text
 from docloom.operators import answer, citations, context, corpus, index, pick, retrieve, score
-from docloom.plans import sql
-from docloom.sources import questions, results
+from docloom.plans import folders, sql
+from docloom.sources import corpus as folder
+from docloom.sources import index_store, questions, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,6 +234,47 @@ def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.col("file_ord").alias("page_id"), F.explode("units").alias("u")).select("page_id", "u.loc", F.length(body).cast("long").alias("n_chars"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).cast("long").alias("line_ends"), F.md5(body.cast("binary")).alias("digest"))
 
 
+# --- a folder of files ------------------------------------------------------------------------------------
+_NAMED = "lpad(doc_id::VARCHAR, 9, '0')"
+_ROW = "'id: ' || doc_id || ' | lang: ' || lang || ' | source: ' || source"
+
+
+def _table_sql(ending: str, kind: str, remainder: int, where: str, first: int) -> str:
+    told = f"{where} || "
+    return f"""SELECT {_NAMED} || '.{ending}' AS rel, '{kind}' AS kind, {first} AS place, {told} ' columns: id | lang | source' AS text, {told} ' header' AS loc, true AS is_row FROM documents WHERE doc_id % 5 = {remainder}
+UNION ALL SELECT {_NAMED} || '.{ending}', '{kind}', {first + 1}, {told} ' | ' || {_ROW}, {told} ' row 2', true FROM documents WHERE doc_id % 5 = {remainder}"""
+
+
+_UNITS = f"""units AS (
+SELECT {_NAMED} || '.txt' AS rel, 'text' AS kind, 0 AS place, coalesce(text, '') AS text, 'file' AS loc, false AS is_row FROM documents WHERE doc_id % 5 = 0
+UNION ALL {_table_sql("csv", "csv", 1, "'csv'", 0)}
+UNION ALL SELECT {_NAMED} || '.docx', 'docx', 0, 'Document ' || doc_id || chr(10) || lang || ' from ' || source, 'Document ' || doc_id, false FROM documents WHERE doc_id % 5 = 2
+UNION ALL {_table_sql("docx", "docx", 2, "'table 1 (Document ' || doc_id || ')'", 1)}
+UNION ALL {_table_sql("xlsx", "xlsx", 3, "'sheet One'", 0)})"""
+
+
+@registered(f"WITH {_UNITS} SELECT rel, kind, NULL::VARCHAR AS skip, place, text, loc, is_row FROM units UNION ALL SELECT {_NAMED} || '.bin', NULL, 'unknown type', NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 5 = 4")
+def folder_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of five kinds, listed, dispatched and parsed into units."""
+    parsed = folder.read_corpus(spark, folders.written(table(spark, sf_dir, "documents")))
+    return parsed.select("rel", "kind", "skip", F.posexplode_outer("units").alias("place", "u")).select("rel", "kind", "skip", "place", "u.text", "u.loc", "u.is_row")
+
+
+@registered(
+    f"""WITH {_CHUNKS}, {_UNITS}
+SELECT true AS built, false AS built_again, (SELECT count(DISTINCT rel) FROM units WHERE regexp_replace(text, '[\\s\\x0b]', '', 'g') <> '') AS files,
+(SELECT count(*) FROM chunks WHERE doc_id % 5 = 0) + (SELECT count(*) FROM units WHERE kind <> 'text') AS chunks,
+(SELECT count(*) FROM documents WHERE doc_id % 5 = 4 OR doc_id % 5 = 0 AND regexp_replace(coalesce(text, ''), '[\\s\\x0b]', '', 'g') = '') AS skipped"""
+)
+def folder_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files indexed on disk, asked for again without a change, and reported."""
+    root = folders.written(table(spark, sf_dir, "documents"))
+    path = f"{root}-index"
+    _, built = index_store.ensure_index(spark, root, path)
+    _, again = index_store.ensure_index(spark, root, path)
+    return index_store.report(spark, path).select(F.lit(built).alias("built"), F.lit(again).alias("built_again"), "files", "chunks", F.size("skipped").cast("long").alias("skipped"))
+
+
 # --- files, families, marks of withdrawal -----------------------------------------------------------------
 _ENDS = [*(e for ends in fixed.KINDS.values() for e in ends), ".bin", ""]
 _KINDS = [next((k for k, ends in fixed.KINDS.items() if f".{e.rsplit('.', 1)[-1]}" in ends), None) if e else None for e in _ENDS]
