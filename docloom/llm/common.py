@@ -18,18 +18,29 @@ from docloom.stages import shared_folder
 CACHE_BYTES = 16_000_000
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Row groups of written tables: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+#: Files of a table that is written in few, for each core of the cluster.
+FILES_A_CORE = 4
+
+
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs its running tasks only, and no later action
     evaluates the plan of ``df`` again.  Shuffle files of the plan go as soon as it is written.
+    ``few`` is for tables that are narrow beside what they were made from: tasks write several
+    partitions, one after the other, to a file, so that rounds over many partitions leave no
+    thousands of small files.
     """
+    if few:
+        df = df.coalesce(max(1, FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_REMOVE_SHUFFLES, None)
     spark.conf.set(_REMOVE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.unset(_REMOVE_SHUFFLES) if before is None else spark.conf.set(_REMOVE_SHUFFLES, before)
     read = spark.read.schema(df.schema).parquet(path)

@@ -78,9 +78,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     number of rounds grows with the logarithm of the longest path that is left.  No edges, no rows.
     Null ends and loops are dropped.
     """
-    edges = materialise(_stars(edges.select("a", "b").where("a <> b")).distinct(), name)
+    edges = materialise(_stars(edges.select("a", "b").where("a <> b")).distinct(), name, few=True)
     while not _are_stars(edges):
-        further = materialise(_contract(_contract(edges, True), False), name)
+        further = materialise(_contract(_contract(edges, True), False), name, few=True)
         discard(edges)
         edges = further
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -9,7 +9,8 @@
 3. A set with e non-empty parts that may differ from a partner in D of them shares e - D tiles with
    it, so it may leave its e - D - 1 most frequent tiles: of the tiles that two linking sets share,
    neither leaves the least frequent.  Tiles of common passages empty that way, at no loss.
-4. Each set is first compared with the least set of the tile that it shares most with.  Bitmap
+4. Each set is first compared with the least set of the tiles that it shares most with, and with
+   the one other set of tiles that hold two.  Bitmap
    signatures (a bit is the parity of the set's hashes in its place) bound the intersection from
    above: a bit that differs stands for a shingle of one set alone.  Pairs that may still link have
    their sorted arrays intersected.
@@ -305,7 +306,10 @@ def _across(tiles: DataFrame, allowance: int, num: int, den: int) -> DataFrame:
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Tiles of about BLOCK rows at most as they are; of larger ones a tile for each two blocks of rows."""
-    large = materialise(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"), "large")
+    large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    if large.isEmpty():
+        return members.select(F.col("key").cast("string").alias("tile"), F.lit(0).cast("long").alias("side"), "id", "n", "component")
+    large = materialise(large, "large", few=True)
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     dealt = members.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -320,17 +324,12 @@ def _ends(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    return _ends(pairs, groups).where("ca <> cb").select("a", "b")
-
-
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     """Components (id, component) after more links; only components that these touch are contracted."""
     over = connected_components(_ends(links, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     known = groups.unionByName(over.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
     moved = known.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
-    return materialise(moved.select("id", F.coalesce("top", "component").alias("component")), "groups")
+    return materialise(moved.select("id", F.coalesce("top", "component").alias("component")), "groups", few=True)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -349,9 +348,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     same = ["n", "f1", "f2"]
     # A set is a node of its own number, whatever doc_ids its texts have; of its rows, the least stands for it.
     least = signs.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "digest")).alias("row"))
-    firsts = materialise(least.select(*same, "row.id", "row.digest").withColumn("node", F.monotonically_increasing_id()), "firsts")
+    firsts = materialise(least.select(*same, "row.id", "row.digest").withColumn("node", F.monotonically_increasing_id()), "firsts", few=True)
     members = signs.select("id", *same).join(firsts.select(*same, "node", F.col("id").alias("least")), same, "left").select("id", "n", "node", "least")
-    members = materialise(members, "members")
+    members = materialise(members, "members", few=True)
     tiles = _tiles(signs, firsts, same)
 
     wanted = firsts.join(tiles.select(F.explode(F.array("id", "pivot")).alias("node")).distinct(), "node")
@@ -390,28 +389,27 @@ def _tiles(signs: DataFrame, firsts: DataFrame, same: list[str]) -> DataFrame:
 
 def _components(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, component) of the sets that link."""
-    # Written in between, as two Python steps in one task would take two workers.
-    linked = lambda pairs: _linked(materialise(_open_pairs(pairs, sets, num, den), "open"), sets, num, den)
-    # First each set and the pivot that it shares most tiles with; then pairs that are a tile by
-    # themselves, where these did not connect them.
+    # First each set and the pivot that it shares most tiles with, and pairs that are a tile by themselves.
     pairs = tiles.where("pivot <> id").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    star = materialise(pairs.agg(F.count(F.lit(1)).alias("shared"), F.min("rows").alias("least")), "star")
+    star = materialise(pairs.agg(F.count(F.lit(1)).alias("shared"), F.min("rows").alias("least")), "star", few=True)
     nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    groups = connected_components(linked(nearest))
-    groups = _joined(groups, linked(_apart(star.where("least = 2"), groups)))
+    first = nearest.unionByName(star.where("least = 2").select("a", "b")).distinct()
+    # Written in between, as two Python steps in one task would take two workers.
+    opened = materialise(_open_pairs(first, sets, num, den), "open", few=True)
+    groups = connected_components(_linked(opened, sets, num, den))
     spread = tiles.where("rows > 2").select("key", "id", "n")
     allowance = 0
     while True:
         labelled = spread.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = materialise(labelled.join(mixed, "key", "left_semi").select("key", "id", "n", "component"), "left")
+        left = materialise(labelled.join(mixed, "key", "left_semi").select("key", "id", "n", "component"), "left", few=True)
         rows = _blocks(left).join(sets.select("id", "bitmap"), "id").select("tile", "side", "id", "n", "component", "bitmap")
-        found = materialise(_across(rows, allowance, num, den), "across")
+        found = materialise(_across(rows, allowance, num, den), "across", few=True)
         discard(left)
         if found.isEmpty():
             return groups
         tried = found.select("a", "b").distinct()
-        links = materialise(_linked(tried, sets, num, den), "linked")
+        links = materialise(_linked(tried, sets, num, den), "linked", few=True)
         joined = links.count()
         if joined:
             groups = _joined(groups, links)
