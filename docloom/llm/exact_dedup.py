@@ -147,13 +147,13 @@ def exact_duplicates(docs: DataFrame, cut: tuple[int, int, int] = (MIN_CHUNK, MA
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_or_empty()).cast("long").alias("n_chars"), text_or_empty().cast("binary").alias("text"))
     recipes = materialise(_recipes(read, cut, digest_bytes), "recipes")
-    collided = materialise(_distinct_chunks(read, cut, digest_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "collided")
+    collided = materialise(_distinct_chunks(read, cut, digest_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "collided", few=True)
     if not collided.isEmpty():
         recipes = materialise(_told_apart(read, recipes, _distinct_chunks(read, cut, digest_bytes), collided, cut, digest_bytes), "told-apart")
     discard(collided)
     order = F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     # Written, so that the join below reads two shuffles and a large group's side can be split.
-    groups = materialise(recipes.groupBy("recipe").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = materialise(recipes.groupBy("recipe").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups", few=True)
     copies = Window.partitionBy("recipe", "doc_id", "n_chars").orderBy("text_sha256")
     return (
         recipes.withColumn("copy", F.row_number().over(copies))

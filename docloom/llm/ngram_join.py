@@ -382,7 +382,7 @@ def _tiles(signs: DataFrame, firsts: DataFrame, same: list[str]) -> DataFrame:
     odd = F.col("key").bitwiseAND(F.lit(1))
     hottest = Window.partitionBy("id", odd).orderBy(F.desc("rows"), "key")
     left = both.withColumn("place", F.row_number().over(hottest)).where(F.col("place") > F.when(odd == 1, F.col("odd")).otherwise(F.col("even")))
-    tiles = materialise(left.select("key", "id", "n", "pivot", "rows"), "tiles")
+    tiles = materialise(left.select("key", "id", "n", "pivot", "rows"), "tiles", few=True)
     discard(alone)
     return tiles
 

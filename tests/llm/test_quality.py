@@ -91,3 +91,12 @@ def test_held_out_accuracy_on_the_tables(spark):
     assert quality.ranked_above(judged.tail_probability.to_numpy(), clean) > 0.9
     assert quality.ranked_above(judged.expected_grade.to_numpy(), good) > 0.95
     assert judged.kept[clean].mean() > 0.9
+
+
+def test_the_sample_is_those_that_hash_lowest(spark):
+    rows, grades = rated(600, 5)
+    ratings = spark.createDataFrame(grades, "doc_id long, grade int")
+    places = ratings.selectExpr("doc_id", "xxhash64(7, doc_id) AS h").collect()
+    for most in (25, 200):  # a small share of the ratings, and a large one
+        lowest = {r.doc_id for r in sorted(places, key=lambda r: (r.h, r.doc_id))[:most]}
+        assert {r.doc_id for r in quality.rated_sample(spark.createDataFrame(rows, DOCS), ratings, most).collect()} == lowest
