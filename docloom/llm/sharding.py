@@ -11,6 +11,8 @@ over cells, sums over salted runs inside a cell, and a row number inside a run.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,7 +117,10 @@ def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int,
     numeric = [F.percentile_approx(x, steps, 10_000).alias(n) for n, x, w in zip(names, compared, words, strict=True) if not w]
     found = docs.agg(*numeric).first().asDict() if numeric else {}
     cuts = [_ordered_cuts(docs, x, codes) if w else found[n] or [] for n, x, w in zip(names, compared, words, strict=True)]
-    code = [sum((F.when(x > F.lit(cut), 1).otherwise(0) for cut in sorted({c for c in own if c is not None})), F.lit(0)) for x, own in zip(compared, cuts, strict=True)]
+    # A value that fills several codes leaves them empty behind it: few values spread over the whole range,
+    # so that each dimension has its say in the curve's first turns.
+    weights = [Counter(c for c in own if c is not None) for own in cuts]
+    code = [sum((F.when(x > F.lit(cut), own[cut]).otherwise(0) for cut in sorted(own)), F.lit(0)) for x, own in zip(compared, weights, strict=True)]
     cell = F.lit(0)
     for c in code:
         cell = cell * codes + c
