@@ -13,6 +13,7 @@ from docloom.operators import answer, citations, context, corpus, index, pick, r
 from docloom.plans import folders, sql
 from docloom.sources import corpus as folder
 from docloom.sources import index_store, questions, results
+from docloom.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,9 +39,9 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term frequencies, totals and idf of the documents."""
+    """Term frequencies, written once, and the totals and idf that are made from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tf = index.term_frequencies(docs, "doc_id", F.col("text"))
+    tf = staged(index.term_frequencies(docs, "doc_id", F.col("text")), "tf")
     totals = index.lengths(docs, tf)
     return tf, totals, index.inverse_frequencies(tf, totals)
 
