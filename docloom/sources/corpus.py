@@ -1,9 +1,10 @@
 """A corpus folder as a Spark data source, and change detection by signatures.
 
 The listing takes every regular file, hidden and empty ones too.  Files are read and parsed on the
-executors, a bounded number to each partition, in a child process that is replaced when a file
-crashes it or takes too long; such a file costs itself only and becomes a row with a reason.
-The folder must be one that all executors see.
+executors, a bounded number and size to each partition, in a child process that is replaced when a
+file crashes it or takes too long; such a file costs itself only and becomes a row with a reason.
+A child serves a whole partition and loads the parsers alone, as starting one costs more than most
+files do.  The folder must be one that all executors see.
 """
 
 from __future__ import annotations
@@ -14,20 +15,20 @@ import os
 import select
 import subprocess
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from docloom.functions import fixed
-from docloom.sources import images, parsers
+from docloom.sources import parsers
 
 UNITS = "array<struct<text:string,loc:string,is_row:boolean>>"
 SCHEMA = f"rel string, file_ord long, size long, mtime_ns long, kind string, skip string, units {UNITS}"
 PAGES = "rel string, page int, name string, content binary, error string"
-FILES_PER_PARTITION = 64
+#: A partition ends at either; a larger file is one of its own.
+FILES_PER_PARTITION, BYTES_PER_PARTITION = 1_024, 16 << 20
 SECONDS_PER_FILE = 60
 
 
@@ -48,39 +49,6 @@ def listing(root: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def parse_path(root: str, rel: str) -> dict:
-    """``{kind, units}`` of a file, or ``{skip}``."""
-    path = os.path.join(root, rel)
-    try:
-        if not os.path.isfile(path):
-            raise parsers.Skip("not a regular file")
-        if os.path.getsize(path) > fixed.MAX_BYTES:
-            raise parsers.Skip("too large")
-        if parsers.kind_of(rel) is None:
-            raise parsers.Skip("unknown type")
-        with open(path, "rb") as file:
-            kind, units = parsers.parse(rel, file.read())
-        return {"kind": kind, "units": units}
-    except parsers.Skip as reason:
-        return {"skip": str(reason)}
-    except PermissionError:
-        return {"skip": "permission denied"}
-    except Exception as error:  # a row for every file, whatever its parser does
-        return {"skip": f"{type(error).__name__}: {error}"}
-
-
-def render_path(root: str, rel: str) -> dict:
-    """``{pages}`` of an image or a PDF file, pairs of number and PNG in base64, or ``{skip}``."""
-    try:
-        with open(os.path.join(root, rel), "rb") as file:
-            pages = images.corpus_pages(rel, file.read())
-            return {"pages": [(number, base64.b64encode(png).decode()) for number, png in pages]}
-    except parsers.Skip as reason:
-        return {"skip": str(reason)}
-    except Exception as error:  # a row for every file, whatever its library does
-        return {"skip": f"{type(error).__name__}: {error}"}
-
-
 class ParseProcess:
     """A child that parses or renders files, one line of JSON each way."""
 
@@ -120,21 +88,38 @@ class ParseProcess:
             self.child = None
 
 
+Listed = tuple[int, str, int, int]
+
+
 class _Files(InputPartition):
-    def __init__(self, files: list[tuple[int, str, int, int]]) -> None:
+    def __init__(self, files: list[Listed]) -> None:
         self.files = files
 
 
+def dealt(files: Iterable[Listed], most: int, most_bytes: int) -> Iterator[list[Listed]]:
+    """``files`` (number, path, size, time of change) in their order, in runs of at most so many files and bytes."""
+    run, held = [], 0
+    for file in files:
+        if run and (len(run) >= most or held + file[2] > most_bytes):
+            yield run
+            run, held = [], 0
+        run.append(file)
+        held += max(0, file[2])
+    if run:
+        yield run
+
+
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
         self.parse = options.get("parse", "true").lower() == "true"
         self.per = int(options.get("filesPerPartition", FILES_PER_PARTITION))
+        self.bytes = int(options.get("bytesPerPartition", BYTES_PER_PARTITION))
         self.seconds = float(options.get("secondsPerFile", SECONDS_PER_FILE))
 
     def partitions(self) -> list[InputPartition]:
-        files = [(i, *f) for i, f in enumerate(listing(self.root))]
-        return [_Files(files[k : k + self.per]) for k in range(0, len(files), self.per)] or [_Files([])]
+        files = ((i, *f) for i, f in enumerate(listing(self.root)))
+        return [_Files(run) for run in dealt(files, self.per, self.bytes)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         child = ParseProcess(self.root, self.seconds)
@@ -150,7 +135,8 @@ class CorpusReader(DataSourceReader):
 class CorpusSource(DataSource):
     """``spark.read.format("docloom_corpus").load(folder)``: one row for each file.
 
-    Options: ``parse`` (false lists only), ``filesPerPartition``, ``secondsPerFile``.
+    Options: ``parse`` (false lists only), ``filesPerPartition``, ``bytesPerPartition``,
+    ``secondsPerFile``.
     """
 
     @classmethod

@@ -3,6 +3,8 @@
 import io
 import json
 import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -40,6 +42,21 @@ def test_every_file_is_a_row(spark, root):
     assert out["empty.txt"] == "no text" and "_under.txt" not in out
 
 
+def test_many_small_files_share_a_partition_and_a_light_child(tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n:03}.txt").write_text("x" * n)
+    parts = lambda **options: [[f[1] for f in p.files] for p in folder.CorpusReader({"path": str(tmp_path), **options}).partitions()]
+    names = [f"{n:03}.txt" for n in range(300)]
+    assert parts() == [names]
+    assert parts(filesPerPartition="150") == [names[:150], names[150:]]
+    by_size = parts(bytesPerPartition="299")
+    assert sum(by_size, []) == names and by_size[0] == names[:24] and by_size[-1] == names[-1:]
+    sizes = [sum(int(f[:3]) for f in p) for p in by_size]
+    assert max(sizes) <= 299 and all(s + int(after[0][:3]) > 299 for s, after in zip(sizes, by_size[1:]))
+    loaded = subprocess.run([sys.executable, "-c", "import sys, docloom.sources.parse_child; print({'pyspark', 'pandas'} & set(sys.modules))"], capture_output=True, text=True, check=True)
+    assert loaded.stdout == "set()\n"
+
+
 def test_a_file_that_hangs_costs_itself_only(root, tmp_path):
     os.mkfifo(os.path.join(root, "pipe.txt"))
     child = folder.ParseProcess(root, 20)
