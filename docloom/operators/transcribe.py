@@ -32,10 +32,11 @@ def with_transcribed(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
     told = pages.groupBy("rel").agg(ordered.alias("pages"), F.max("error").alias("error"))
-    joined = parsed.join(told, "rel", "left")
-    open_kind = F.col("kind").isin("image", "pdf_scanned") & F.col("skip").isNull()
+    open_kind = F.coalesce(F.col("kind").isin("image", "pdf_scanned") & F.col("skip").isNull(), F.lit(False))
+    joined = parsed.where(open_kind).join(told, "rel", "left")
     loc = lambda p: F.when(F.col("kind") == "image", "text in image").otherwise(F.concat(F.lit("page "), p["page"].cast("string")))
     units = F.transform("pages", lambda p: F.struct(p["text"].alias("text"), loc(p).alias("loc"), F.lit(False).alias("is_row")))
     skip = F.when(F.col("error").isNotNull(), F.concat(F.lit("ocr failed: "), F.col("error"))).when(F.col("pages").isNull(), "not transcribed")
     kept = [c for c in parsed.columns if c not in ("units", "skip")]
-    return joined.select(*kept, F.when(open_kind, skip).otherwise(F.col("skip")).alias("skip"), F.when(open_kind, F.coalesce(units, F.col("units"))).otherwise(F.col("units")).alias("units"))
+    filled = joined.select(*kept, skip.alias("skip"), F.coalesce(units, F.col("units")).alias("units"))
+    return parsed.where(~open_kind).select(*kept, "skip", "units").unionByName(filled)  # other files meet no join

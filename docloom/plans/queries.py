@@ -273,7 +273,7 @@ def folder_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{root}-index"
     _, built = index_store.ensure_index(spark, root, path)
     _, again = index_store.ensure_index(spark, root, path)
-    return index_store.report(spark, path).select(F.lit(built).alias("built"), F.lit(again).alias("built_again"), "files", "chunks", F.size("skipped").cast("long").alias("skipped"))
+    return index_store.report(spark, path).select(F.lit(built).alias("built"), F.lit(again).alias("built_again"), "files", "chunks", F.col("n_skipped").alias("skipped"))
 
 
 # --- files, families, marks of withdrawal -----------------------------------------------------------------

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import os
 import select
 import subprocess
@@ -29,6 +30,8 @@ SCHEMA = f"rel string, file_ord long, size long, mtime_ns long, kind string, ski
 PAGES = "rel string, page int, name string, content binary, error string"
 #: A partition ends at either; a larger file is one of its own.
 FILES_PER_PARTITION, BYTES_PER_PARTITION = 1_024, 16 << 20
+#: Where no file is opened.
+LISTED_PER_PARTITION = 65_536
 SECONDS_PER_FILE = 60
 
 
@@ -96,7 +99,7 @@ class _Files(InputPartition):
         self.files = files
 
 
-def dealt(files: Iterable[Listed], most: int, most_bytes: int) -> Iterator[list[Listed]]:
+def dealt(files: Iterable[Listed], most: int, most_bytes: float) -> Iterator[list[Listed]]:
     """``files`` (number, path, size, time of change) in their order, in runs of at most so many files and bytes."""
     run, held = [], 0
     for file in files:
@@ -119,7 +122,8 @@ class CorpusReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = ((i, *f) for i, f in enumerate(listing(self.root)))
-        return [_Files(run) for run in dealt(files, self.per, self.bytes)] or [_Files([])]
+        runs = dealt(files, self.per, self.bytes) if self.parse else dealt(files, LISTED_PER_PARTITION, math.inf)
+        return [_Files(run) for run in runs] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         child = ParseProcess(self.root, self.seconds)
@@ -184,4 +188,6 @@ def signature(spark: SparkSession, root: str) -> DataFrame:
 
 
 def same_signature(left: DataFrame, right: DataFrame) -> bool:
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    """Whether both hold the same rows equally often; each is read once."""
+    both = left.withColumn("__n", F.lit(1)).unionByName(right.withColumn("__n", F.lit(-1)))
+    return both.groupBy(*left.columns).agg(F.sum("__n").alias("__n")).where("__n <> 0").isEmpty()

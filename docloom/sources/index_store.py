@@ -101,7 +101,7 @@ def ensure_index(spark: SparkSession, root: str, path: str, transcriber: Transcr
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
-    """(files, chunks, skipped): one row; skipped holds (rel, reason) of files that are not indexed."""
+    """(files, chunks, n_skipped, skipped): one row; skipped holds (rel, reason) of files that are not indexed."""
     index = load_index(spark, path)
-    left_out = spark.read.parquet(f"{path}/skipped").agg(F.sort_array(F.collect_list(F.struct("rel", "reason"))).alias("skipped"))
+    left_out = spark.read.parquet(f"{path}/skipped").agg(F.count(F.lit(1)).alias("n_skipped"), F.sort_array(F.collect_list(F.struct("rel", "reason"))).alias("skipped"))
     return index.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(index.chunks.agg(F.count(F.lit(1)).alias("chunks"))).crossJoin(left_out)  # one row each

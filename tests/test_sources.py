@@ -51,6 +51,7 @@ def test_many_small_files_share_a_partition_and_a_light_child(tmp_path):
     assert parts(filesPerPartition="150") == [names[:150], names[150:]]
     by_size = parts(bytesPerPartition="299")
     assert sum(by_size, []) == names and by_size[0] == names[:24] and by_size[-1] == names[-1:]
+    assert parts(bytesPerPartition="299", filesPerPartition="150", parse="false") == [names]
     sizes = [sum(int(f[:3]) for f in p) for p in by_size]
     assert max(sizes) <= 299 and all(s + int(after[0][:3]) > 299 for s, after in zip(sizes, by_size[1:]))
     loaded = subprocess.run([sys.executable, "-c", "import sys, docloom.sources.parse_child; print({'pyspark', 'pandas'} & set(sys.modules))"], capture_output=True, text=True, check=True)
@@ -239,6 +240,23 @@ def test_transcriptions_and_transcribed_files(spark):
     assert [tuple(r) for r in corpus.skipped(filled).collect()] == [("e.png", "ocr failed: broken")]
 
 
+def test_files_without_images_meet_no_join(spark, tmp_path):
+    parsed = spark.createDataFrame([("t.txt", 0, "text", None, [("t", "file", False)]), ("x.bin", 1, None, "unknown type", []), ("i.png", 2, "image", None, [])], f"rel string, file_ord long, kind string, skip string, units {folder.UNITS}")
+    parsed.write.parquet(str(tmp_path / "parsed"))
+    pages = spark.createDataFrame([("i.png", 1, "seen", None), ("t.txt", 1, "other", None)], "rel string, page int, text string, error string")
+    filled = transcribe.with_transcribed(spark.read.parquet(str(tmp_path / "parsed")), pages)
+    assert {r.rel: (r.skip, [u.text for u in r.units]) for r in filled.collect()} == {"t.txt": (None, ["t"]), "x.bin": ("unknown type", []), "i.png": (None, ["seen"])}
+    texts = filled._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert texts.lstrip().startswith("Union") and "Relation" in texts
+
+
+def test_signatures_count_repeated_rows(spark):
+    told = lambda *rows: spark.createDataFrame(list(rows), "rel string, size long, mtime_ns long")
+    a, b = ("a", 1, 1), ("b", -1, None)
+    assert folder.same_signature(told(a, b), told(b, a)) and folder.same_signature(told(), told())
+    assert not folder.same_signature(told(a, a, b), told(a, b, b)) and not folder.same_signature(told(a), told()) and not folder.same_signature(told(), told(b))
+
+
 def test_scaled_sizes_equal_the_expression(spark):
     for w, h in ((800, 600), (3200, 1600), (320, 100), (1, 1), (5000, 1)):
         s = spark.range(1).select(recognition.model_size(F.lit(w), F.lit(h)).alias("s")).first().s
